@@ -6,10 +6,11 @@ token that two texts don't share alters one band at most, so the number of diffe
 words is a lower bound of the symmetric difference.  Texts of like size (bands per size
 level) that agree in a band's word are candidates; the exact similarity decides.
 
-Bands.  A pair at the similarity limit has a symmetric difference D; of g bands about
-g exp(-D / g) stay equal.  g is chosen per size level so that at least EQUAL_BANDS are
-expected to agree for the largest pair at the limit: it grows less than the texts, while
-the words stay too specific to collide by chance.
+Bands.  A pair at the similarity limit shares a known part of its tokens, so the number of
+bands that stay equal can be computed.  The bands of a size level are so many that a pair
+at the limit shares EQUAL_BANDS of them on average, be it among the smallest or largest
+of the level.  Words of a few tokens, which unlike texts share by chance, aren't used;
+both texts of a pair agree on that, as an equal word has equal tokens.
 
 Copies (equal but for white space) have one sketch, so they are one record in the join
 and come apart only in the result.  All words are sorted in hash buckets whose number
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,8 @@ from ledgerloom.session import buckets_for, materialize
 WIDTH = 5
 SIMILARITY = 0.7
 MIN_CHARS = 60
-#: Bands that a pair at the limit is expected to share; the chance to share none is exp(-EQUAL_BANDS).
+#: Words that a pair at the limit is expected to share; the chance to share none is about exp(-EQUAL_BANDS),
+#: and falls fast above the limit.
 EQUAL_BANDS = 6.0
 #: Ratio of the sizes at the ends of a level.
 LEVEL = 2.0
@@ -77,15 +80,32 @@ def level_of(size: int) -> int:
     return int(math.log(size, LEVEL) + 1e-9)
 
 
+def least_tokens(level: int) -> int:
+    """Tokens that a word must have to be used, by the largest size of the level."""
+    top = LEVEL ** (level + 1)
+    return 4 if top >= 400 else 3 if top >= 200 else 2
+
+
+def expected_equal(size: int, bands: int, least: int, similarity: float) -> float:
+    """Words of at least `least` tokens that two texts of `size` tokens at the limit have in common, on average.
+
+    The tokens of a band are Poisson distributed; each is shared with probability s, and
+    the other text must have no further ones.
+    """
+    mean, shared = size / bands, 2 * similarity / (1 + similarity)
+    m = mean * shared
+    tail = 1 - sum(math.exp(-m) * m**k / math.factorial(k) for k in range(least))
+    return bands * math.exp(-2 * mean * (1 - shared)) * tail
+
+
+@lru_cache(None)
 def bands_at(level: int, similarity: float = SIMILARITY, equal: float = EQUAL_BANDS) -> int:
-    """Fewest bands with which the largest pair of the level at the limit shares `equal` bands on average;
-    no more than one above its symmetric difference, for then one is shared in any case."""
-    size = LEVEL ** (level + 1)
-    difference = 2 * size * (1 - similarity) / (1 + similarity)
-    g = 4
-    while g < difference + 1 and g * math.exp(-difference / g) < equal:
-        g += 1 + g // 16
-    return min(g, int(difference) + 1)
+    """Fewest bands with which pairs of the level's least and largest size at the limit share `equal` words on average."""
+    bottom, top, least = LEVEL**level, LEVEL ** (level + 1), least_tokens(level)
+    bands = 4
+    while bands < top and min(expected_equal(top, bands, least, similarity), expected_equal(bottom, bands, least, similarity)) < equal:
+        bands += 1
+    return bands
 
 
 def levels_for(size: int, similarity: float = SIMILARITY) -> list[int]:
@@ -93,8 +113,8 @@ def levels_for(size: int, similarity: float = SIMILARITY) -> list[int]:
     return list(range(level_of(size), level_of(int(size / similarity)) + 1))
 
 
-def parity_words(tokens: np.ndarray, bands: int, salt: int) -> np.ndarray:
-    """XOR of the tokens of each band that has any, mixed with band and level."""
+def parity_words(tokens: np.ndarray, bands: int, least: int, salt: int) -> np.ndarray:
+    """XOR of the tokens of each band that has `least`, mixed with band and level."""
     band = (tokens >> np.uint64(33)) % np.uint64(bands)
     order = np.argsort(band, kind="stable")
     band, tokens = band[order], tokens[order]
@@ -102,7 +122,8 @@ def parity_words(tokens: np.ndarray, bands: int, salt: int) -> np.ndarray:
     words = np.bitwise_xor.reduceat(tokens, starts) + band[starts] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt * 0xA0761D6478BD642F % (1 << 64))
     words ^= words >> np.uint64(32)
     words *= _MIX
-    return words ^ (words >> np.uint64(29))
+    words ^= words >> np.uint64(29)
+    return words[np.diff(np.append(starts, len(tokens))) >= least]
 
 
 def sketch(docs: DataFrame, buckets: int, similarity: float = SIMILARITY, width: int = WIDTH, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -122,7 +143,7 @@ def sketch(docs: DataFrame, buckets: int, similarity: float = SIMILARITY, width:
                 known.add(content)
                 tokens = shingles(squeezed, width)
                 for level in levels_for(len(tokens), similarity):
-                    w = parity_words(tokens, bands_at(level, similarity), level)
+                    w = parity_words(tokens, bands_at(level, similarity), least_tokens(level), level)
                     words.append(w)
                     owners.append(np.full(len(w), content, dtype=np.int64))
             if not words:
@@ -223,7 +244,7 @@ def similar_contents(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """(links a, b, similarity between different contents; members key, content); docs(key, text)."""
     docs = docs.select("key", "text").filter(f"key is not null and length(text) >= {min_chars}")
     members = materialize(contents(docs, min_chars))
-    buckets = buckets_for(members.count() * 120, BUCKET_WORDS)
+    buckets = buckets_for(members.count() * 90, BUCKET_WORDS)
     pairs = materialize(candidates(materialize(equal_words(sketch(docs, buckets, similarity, width, min_chars)))))
     wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     # one record stands for each content
