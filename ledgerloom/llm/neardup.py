@@ -161,7 +161,7 @@ def sketch(docs: DataFrame, buckets: int, similarity: float = SIMILARITY, width:
     return docs.select("text").mapInPandas(emit, "bucket bigint, packed binary")
 
 
-def equal_words(sketches: DataFrame) -> DataFrame:
+def equal_words(sketches: DataFrame, buckets: int) -> DataFrame:
     """word, content of all words that at least two different contents have."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +187,7 @@ def equal_words(sketches: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return sketches.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(match, "word bigint, content bigint")
+    return sketches.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(match, "word bigint, content bigint")
 
 
 def candidates(matches: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def similar_contents(docs: DataFrame, similarity: float = SIMILARITY, width: int
     docs = docs.select("key", "text").filter(f"key is not null and length(text) >= {min_chars}")
     members = materialize(contents(docs, min_chars))
     buckets = buckets_for(members.count() * 90, BUCKET_WORDS)
-    pairs = materialize(candidates(materialize(equal_words(sketch(docs, buckets, similarity, width, min_chars)))))
+    pairs = materialize(candidates(materialize(equal_words(sketch(docs, buckets, similarity, width, min_chars), buckets))))
     wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     # one record stands for each content
     chosen = members.join(wanted, "content").groupBy("content").agg(F.min("key").alias("key"))
