@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from ledgerloom.plans import acquire, extensions, retrieval, structure
+
+_MODULES = (acquire, structure, retrieval, extensions)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
