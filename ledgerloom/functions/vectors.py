@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,6 @@ def l2_normalize(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
-def token_slot(token: Column, dim: int = DIM) -> Column:
+def slot_of(token: str, dim: int = DIM) -> int:
     """The vector position that a token counts in."""
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim

@@ -16,15 +16,26 @@ from ledgerloom.functions import vectors as V
 BLOCK = 4096
 
 
-def hashed_embeddings(texts: DataFrame, key: str, dim: int = V.DIM, tokens=X.tokens) -> DataFrame:
-    """key, embedding: unit vectors of hashed token counts; a stand-in for a model that any host has.
+def hashed_embeddings(texts: DataFrame, key: str, *keep: str, dim: int = V.DIM, tokens=X.tokens) -> DataFrame:
+    """key, the columns to keep, embedding: unit vectors of hashed token counts; a stand-in for a model that any host has.
 
     texts(key, body).  Texts without tokens have no vector.
     """
-    counts = texts.select(key, F.explode(tokens(F.col("body"))).alias("token")).groupBy(key, V.token_slot(F.col("token"), dim).alias("slot")).agg(F.count("*").cast("double").alias("n"))
-    slots = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return slots.select(key, V.l2_normalize(vector).alias("embedding"))
+    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots: dict[str, int] = {}
+        for pdf in batches:
+            vectors = []
+            for words in pdf["words"]:
+                for w in words:
+                    if w not in slots:
+                        slots[w] = V.slot_of(w, dim)
+                counts = np.bincount([slots[w] for w in words], minlength=dim)
+                vectors.append(counts / np.sqrt((counts * counts).sum()))
+            yield pdf.drop(columns="words").assign(embedding=vectors)
+
+    types = dict(texts.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (key, *keep)) + ", embedding array<double>"
+    return texts.select(key, *keep, tokens(F.col("body")).alias("words")).filter(F.size("words") > 0).mapInPandas(embed, schema)
 
 
 def _blocks(rows: Iterator, size: int) -> Iterator[list]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as X
 from ledgerloom.functions import vectors as V
 from ledgerloom.operators import answering, dense, evaluation, fusion, lexical
-from ledgerloom.session import materialize, table
+from ledgerloom.session import materialize, spread, table
 
 K_EACH = 80
 
@@ -24,14 +24,18 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The postings are written once and read by every part of a search."""
+    """The postings and the lengths are written once and read by every part of a search."""
     chunks = _chunks(spark, d)
-    return lexical.build_index(chunks, postings=materialize(lexical.term_counts(chunks)))
+    index = lexical.build_index(chunks, postings=materialize(lexical.term_counts(chunks)))
+    lengths = materialize(index["lengths"])
+    return index | {"lengths": lengths, "meta": lexical.corpus_meta(lengths)}
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     body = X.document_text(F.col("company"), F.col("report_label"), F.col("section"), F.col("text"), 100_000)
-    return dense.hashed_embeddings(_chunks(spark, d).select(F.col("chunk_id").alias("key"), "company", body.alias("body")).dropDuplicates(["key"]), "key")
+    texts = _chunks(spark, d).select(F.col("chunk_id").alias("key"), "company", body.alias("body"))
+    texts = spread(texts, "key").dropDuplicates(["key"])
+    return dense.hashed_embeddings(texts, "key", "company")
 
 
 def _question_vectors(questions: DataFrame) -> DataFrame:
@@ -78,16 +82,16 @@ def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
     return e.select("qid", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), " ").alias("embedding"))
 
 
-def _dense(spark: SparkSession, d: str, questions: DataFrame) -> DataFrame:
-    return dense.cosine_topk(_embeddings(spark, d), _question_vectors(questions), K_EACH).withColumnRenamed("key", "chunk_id")
+def _dense(spark: SparkSession, d: str, questions: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    return dense.cosine_topk(vectors or _embeddings(spark, d), _question_vectors(questions), K_EACH).withColumnRenamed("key", "chunk_id")
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, _questions(spark, d))
 
 
-def _fused(spark: SparkSession, d: str, questions: DataFrame) -> DataFrame:
-    return fusion.rrf(_dense(spark, d, questions), lexical.bm25_topk(_index(spark, d), questions, K_EACH))
+def _fused(spark: SparkSession, d: str, questions: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    return fusion.rrf(_dense(spark, d, questions, vectors), lexical.bm25_topk(_index(spark, d), questions, K_EACH))
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
@@ -104,10 +108,10 @@ def chunk_flags(spark: SparkSession, d: str) -> DataFrame:
     return fusion.chunk_flags(_chunks(spark, d)).groupBy("company", "report_type").agg(F.count("*").alias("n"), F.count_if("narrative").alias("narrative"), F.count_if("attribution_text").alias("attribution"))
 
 
-def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _ranked(spark: SparkSession, d: str, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     questions = _questions(spark, d)
     intents = fusion.question_intent(questions, table(spark, d, "companies"))
-    return fusion.rank_fused(_fused(spark, d, questions), intents, fusion.chunk_flags(_chunks(spark, d))), intents
+    return fusion.rank_fused(_fused(spark, d, questions, vectors), intents, fusion.chunk_flags(_chunks(spark, d))), intents
 
 
 def fused_boosts(spark: SparkSession, d: str) -> DataFrame:
@@ -115,11 +119,10 @@ def fused_boosts(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d)[0].select("qid", "idx", "chunk_id", "score", "vec_rank", "bm25_rank")
 
 
-def _balanced(spark: SparkSession, d: str) -> DataFrame:
+def _balanced(spark: SparkSession, d: str, vectors: DataFrame | None = None) -> DataFrame:
     questions = _questions(spark, d)
     intents = fusion.question_intent(questions, table(spark, d, "companies")).filter("panorama")
-    names = _chunks(spark, d).select(F.col("chunk_id").alias("key"), "company").dropDuplicates(["key"])
-    two = dense.cosine_topk(_embeddings(spark, d).join(names, "key"), _question_vectors(intents), 2, group="company")
+    two = dense.cosine_topk(vectors or _embeddings(spark, d), _question_vectors(intents), 2, group="company")
     return fusion.balanced(two.withColumnRenamed("key", "chunk_id"), intents)
 
 
@@ -128,9 +131,10 @@ def panorama_balanced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ranked, intents = _ranked(spark, d)
+    vectors = materialize(_embeddings(spark, d))
+    ranked, intents = _ranked(spark, d, vectors)
     plain = ranked.join(intents.filter("not panorama").select("qid"), "qid", "left_semi").select("qid", "idx", "chunk_id", "score")
-    both = plain.unionByName(_balanced(spark, d).select("qid", "idx", "chunk_id", "score"))
+    both = plain.unionByName(_balanced(spark, d, vectors).select("qid", "idx", "chunk_id", "score"))
     return fusion.with_chunks(materialize(both), _chunks(spark, d), intents), intents
 
 

@@ -33,7 +33,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_ledgerloom_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom_package.zip"
+    shared = shared_dir(spark)
+    folder = Path(shared.removeprefix("file://")) if shared.startswith(("file://", "/")) else Path(tempfile.mkdtemp(prefix="ledgerloom-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    archive = folder / f"ledgerloom-{uuid.uuid4().hex}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
@@ -63,6 +66,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitioned by the columns into as many partitions as the session's shuffles have; not
+    coalesced by their size, as the rows are about to be exploded."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def buckets_for(rows: int, per_bucket: int = BUCKET_ROWS, least: int = 1) -> int:
     """Number of hash buckets so that each holds about per_bucket rows."""
     return max(least, -(-rows // per_bucket))
