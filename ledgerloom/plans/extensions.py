@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import table
+from ledgerloom.session import materialize, shared_dir, table
 from ledgerloom.streaming import ingest
 
 
@@ -21,6 +23,20 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.user_sessions(table(spark, d, "events"))
 
 
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The event table read as a stream to its end; the last state of the hourly windows."""
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    state: list[DataFrame] = []
+
+    def keep(batch: DataFrame, _: int) -> None:
+        state[:] = [materialize(batch)]
+
+    folder = f"{shared_dir(spark)}/ledgerloom/stream-{uuid.uuid4().hex}"
+    counted = ingest.event_windows(source).writeStream.outputMode("complete").foreachBatch(keep)
+    counted.option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    return state[0].withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def event_properties(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, d, "events").groupBy("event_type", (k % 10).alias("bucket")).agg(F.count("*").alias("n"))
@@ -59,12 +75,13 @@ def running_quantity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tumbling_windows, sliding_windows, session_windows, event_properties, star_rollup, star_cube, set_operations, latest_order, running_quantity)
+    for f in (tumbling_windows, sliding_windows, session_windows, stream_windows, event_properties, star_rollup, star_cube, set_operations, latest_order, running_quantity)
 }
 
 ORACLE = {
     "tumbling_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "sliding_windows": "SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY ALL",
+    "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "session_windows": "SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce((ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE)::INT, 1) AS fresh FROM events)) GROUP BY user_id, s",
     "event_properties": "SELECT event_type, (json_extract(props, '$.k')::INT % 10) AS bucket, count(*) AS n FROM events GROUP BY ALL",
     "star_rollup": "SELECT r_name, n_name, round(sum(revenue), 2) AS revenue, count(*) AS orders FROM (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY l_orderkey) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",

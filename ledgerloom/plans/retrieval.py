@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom import engine
 from ledgerloom.functions import text as X
 from ledgerloom.functions import vectors as V
 from ledgerloom.operators import answering, dense, evaluation, fusion, lexical
-from ledgerloom.session import materialize, spread, table
+from ledgerloom.session import materialize, table
 
-K_EACH = 80
+K_EACH = engine.K_EACH
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -32,14 +33,7 @@ def _index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
-    body = X.document_text(F.col("company"), F.col("report_label"), F.col("section"), F.col("text"), 100_000)
-    texts = _chunks(spark, d).select(F.col("chunk_id").alias("key"), "company", body.alias("body"))
-    texts = spread(texts, "key").dropDuplicates(["key"])
-    return dense.hashed_embeddings(texts, "key", "company")
-
-
-def _question_vectors(questions: DataFrame) -> DataFrame:
-    return dense.hashed_embeddings(questions.select("qid", F.col("question").alias("body")), "qid")
+    return engine.chunk_embeddings(_chunks(spark, d))
 
 
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
@@ -78,12 +72,12 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
-    e = _question_vectors(table(spark, d, "eval_raw").select(F.col("id").alias("qid"), "question").distinct())
+    e = engine.question_embeddings(table(spark, d, "eval_raw").select(F.col("id").alias("qid"), "question").distinct())
     return e.select("qid", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), " ").alias("embedding"))
 
 
 def _dense(spark: SparkSession, d: str, questions: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    return dense.cosine_topk(vectors or _embeddings(spark, d), _question_vectors(questions), K_EACH).withColumnRenamed("key", "chunk_id")
+    return dense.cosine_topk(vectors or _embeddings(spark, d), engine.question_embeddings(questions), K_EACH).withColumnRenamed("key", "chunk_id")
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +116,7 @@ def fused_boosts(spark: SparkSession, d: str) -> DataFrame:
 def _balanced(spark: SparkSession, d: str, vectors: DataFrame | None = None) -> DataFrame:
     questions = _questions(spark, d)
     intents = fusion.question_intent(questions, table(spark, d, "companies")).filter("panorama")
-    two = dense.cosine_topk(vectors or _embeddings(spark, d), _question_vectors(intents), 2, group="company")
+    two = dense.cosine_topk(vectors or _embeddings(spark, d), engine.question_embeddings(intents), 2, group="company")
     return fusion.balanced(two.withColumnRenamed("key", "chunk_id"), intents)
 
 
@@ -198,6 +192,18 @@ def kwic_grep(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.keyword_hits(_chunks(spark, d), "存货余额", report="年度报告")
 
 
+def pending_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of the manifest that have no blocks yet."""
+    return table(spark, d, "manifest").select("doc_id").distinct().join(table(spark, d, "blocks").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def mentioned_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the companies that a question of the query set names."""
+    intents = fusion.question_intent(_questions(spark, d), table(spark, d, "companies"))
+    named = intents.select("qid", F.explode("mentioned").alias("company"))
+    return _chunks(spark, d).select("chunk_id", "company").distinct().join(named.select("company").distinct(), "company", "left_semi").groupBy("company").agg(F.count("*").alias("n"))
+
+
 def block_statistics(spark: SparkSession, d: str) -> DataFrame:
     from ledgerloom.operators.blocks import document_statistics
 
@@ -209,7 +215,7 @@ QUERIES = {
     for f in (
         tokenize, term_freq, doc_freq_idf, corpus_stats_meta, field_weighted_tokens, bm25_topk, l2_normalize, cosine_topk, hashed_embedding, dense_topk,
         rrf_fuse, query_intent, chunk_flags, fused_boosts, panorama_balanced, hybrid_search, evidence_budget, answer_questions, parse_citations,
-        citation_join, hit_at_k_mrr, expected_documents, verdict_tally, corpus_histograms, no_section_ratio, kwic_grep, block_statistics,
+        citation_join, hit_at_k_mrr, expected_documents, verdict_tally, corpus_histograms, no_section_ratio, kwic_grep, block_statistics, pending_documents, mentioned_evidence,
     )
 }
 
@@ -297,5 +303,7 @@ ORACLE = {
     "corpus_histograms": "WITH c AS (SELECT DISTINCT chunk_id, type, company, report_type FROM chunks) SELECT 'type' AS field, type AS value, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'company', company, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'report_type', report_type, count(*) FROM c GROUP BY ALL",
     "no_section_ratio": f"SELECT count(*) AS chunks, sum(length(coalesce(text, '')))::BIGINT AS chars, floor(sum(length(coalesce(text, ''))) / greatest(count(*), 1))::BIGINT AS mean_chars, count(*) FILTER (type = 'table') AS tables, round(avg(CASE WHEN coalesce(section, '') IN ('', '{X.DEFAULT_PATH}') THEN 1.0 ELSE 0.0 END), 6) AS no_section FROM (SELECT DISTINCT chunk_id, type, section, text FROM chunks)",
     "kwic_grep": "SELECT DISTINCT chunk_id, replace(substring(text, greatest(instr(text, '存货余额') - 120, 1), instr(text, '存货余额') - greatest(instr(text, '存货余额') - 120, 1) + 220), chr(10), ' ⏎ ') AS snippet FROM chunks WHERE contains(text, '存货余额') AND contains(report_label, '年度报告')",
+    "pending_documents": "SELECT DISTINCT doc_id FROM manifest WHERE doc_id NOT IN (SELECT doc_id FROM blocks WHERE doc_id IS NOT NULL)",
+    "mentioned_evidence": f"WITH {QUESTIONS} SELECT company, count(DISTINCT chunk_id) AS n FROM chunks WHERE company IN (SELECT name FROM companies, questions WHERE name <> '' AND contains(question, name)) GROUP BY company",
     "block_statistics": "SELECT doc_id, max(page) AS pages, count(*) AS blocks, count(*) FILTER (type = 'table') AS tables FROM (SELECT DISTINCT * FROM blocks) GROUP BY doc_id",
 }

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import io
 import json
+import re
+import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerloom import schemas
 
 
+# Fixed value: the name of an extractor's layout file.
+LAYOUT_NAME = "middle_json.json"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target))
@@ -57,11 +66,35 @@ def read_layouts(spark: SparkSession, pattern: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -2).alias("doc_id"), "layout")
 
 
+def read_layout_archives(spark: SparkSession, pattern: str) -> DataFrame:
+    """doc_id (the archive's name), layout: the first layout file of each zip archive; null if it has none."""
+
+    @F.pandas_udf("string")
+    def unzip(contents: pd.Series) -> pd.Series:
+        out = []
+        for content in contents:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                names = sorted(n for n in z.namelist() if n.endswith(LAYOUT_NAME))
+                out.append(z.read(names[0]).decode("utf-8") if names else None)
+        return pd.Series(out, dtype=object)
+
+    files = spark.read.format("binaryFile").load(pattern)
+    name = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+    return files.select(name.alias("doc_id"), unzip("content").alias("layout"))
+
+
+@F.pandas_udf(T.IntegerType())
+def pdf_pages(contents: pd.Series) -> pd.Series:
+    """Page objects of a PDF without object streams; null if none is seen."""
+    found = contents.map(lambda c: len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", c or b"")) or None)
+    return found.astype("Int32")
+
+
 def read_documents(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, size, sha256 and whether the file is a PDF of more than 1,024 bytes."""
+    """path, size, sha256, pages and whether the file is a PDF of more than 1,024 bytes."""
     files = spark.read.format("binaryFile").load(pattern)
     return files.select(
-        "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"),
+        "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), pdf_pages("content").alias("pages"),
         ((F.col("length") > 1024) & (F.substring("content", 1, 4) == F.lit(b"%PDF"))).alias("valid"),
     )
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import zipfile
 
 from ledgerloom import schemas
 from ledgerloom.operators import acquisition as A
@@ -78,6 +79,18 @@ def test_documents_are_checked(spark, tmp_path):
     assert got == {"a.pdf": True, "b.pdf": False, "c.pdf": False}
 
 
+def test_archives_and_pages(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "D1.zip", "w") as z:
+        z.writestr("x/middle_json.json", '{"pages": []}')
+    with zipfile.ZipFile(tmp_path / "D2.zip", "w") as z:
+        z.writestr("other.txt", "")
+    got = {r["doc_id"]: r["layout"] for r in readers.read_layout_archives(spark, str(tmp_path / "*.zip")).collect()}
+    assert got == {"D1": '{"pages": []}', "D2": None}
+    (tmp_path / "a.pdf").write_bytes(b"%PDF /Type /Pages /Type /Page x /Type/Page>" + b" " * 2000)
+    (tmp_path / "b.pdf").write_bytes(b"no pages")
+    assert {r["pages"] for r in readers.read_documents(spark, str(tmp_path / "*.pdf")).collect()} == {2, None}
+
+
 def test_reports(spark, tmp_path):
     sinks.csv_with_bom(spark.createDataFrame([("q1", "是")], "id string, verdict string"), str(tmp_path / "csv"))
     (part,) = (tmp_path / "csv").glob("*.csv")

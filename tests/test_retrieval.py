@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.engine import KnowledgeBase
 from ledgerloom.functions import text as X
 from ledgerloom.operators import answering as AN
 from ledgerloom.operators import dense, evaluation, fusion, lexical
@@ -129,3 +130,17 @@ def test_empty_corpus(spark):
     index = lexical.build_index(empty)
     assert index["meta"].first().asDict() == {"n_docs": 0, "avg_len": 0.0, "k1": 1.5, "b": 0.75}
     assert lexical.bm25_topk(index, questions(spark, ("x", 1))).count() == 0 and evaluation.corpus_statistics(empty).first()["chunks"] == 0
+
+
+def test_knowledge_base(spark, tmp_path):
+    rows = [chunk(i, f"第{i}项 营业收入 同比 增长 {w}", company=c) for i, (w, c) in enumerate([("alpha", "甲公司"), ("beta", "乙公司"), ("alpha beta", "丙公司"), ("gamma", "甲公司")])]
+    companies = spark.createDataFrame(COMPANIES, "code string, name string, a string, b string, c string")
+    KnowledgeBase.build(spark.createDataFrame(rows + rows[:1], CHUNKS), companies, str(tmp_path / "kb"))
+    kb = KnowledgeBase.open(spark, str(tmp_path / "kb"))
+    qs = questions(spark, ("甲公司 alpha 营业收入？", 2), ("哪家公司 beta 最高？", 5), ("没有", 1))
+    found = {(r["qid"], r["idx"]): r["chunk_id"] for r in kb.search(qs).collect()}
+    assert found["q0", 1] == "c0" and {k[0] for k in found} >= {"q0", "q1"} and len([k for k in found if k[0] == "q1"]) == 4
+    got = kb.ask("甲公司 alpha？", 2).first()
+    assert got["answer"] and len(got["evidence"]) == 2 and got["citations"][0]["idx"] == 1
+    with pytest.raises(ValueError):
+        kb.ask("  ")
