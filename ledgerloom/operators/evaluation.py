@@ -52,7 +52,7 @@ def status(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: n_docs, n_pages, n_companies, n_chunks."""
     reports = manifest.groupBy("doc_id").agg(F.max("pages").alias("pages"), F.min("code").alias("code"))
     docs = reports.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("pages"), F.lit(0)).alias("n_pages"), F.count_distinct("code").alias("n_companies"))
-    return docs.join(chunks.agg(F.count_distinct("chunk_id").alias("n_chunks")), how="cross")
+    return docs.select("*", chunks.agg(F.count_distinct("chunk_id")).scalar().alias("n_chunks"))
 
 
 def random_sample(df: DataFrame, n: int, seed: int) -> DataFrame:
