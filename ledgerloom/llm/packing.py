@@ -18,7 +18,6 @@ goes into container 0, for it needs no space; repeated rows give one row.
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -180,28 +179,25 @@ def pack(items: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, depth
     """items(key, size) -> key, piece, size, container; the sizes in a container never exceed the capacity."""
     spark = items.sparkSession
     sharded = pieces(items, capacity).withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int"))
-    table = sharded.filter("size > 0").groupBy("size", "shard").agg(F.count("*").alias("n")).toPandas()  # at most capacity x shards rows
-    counts = table.groupby("size")["n"].sum().to_dict()
-    runs = places(plan(counts, capacity, window, depth))
-    table = table.sort_values(["size", "shard"])
-    offsets: dict[tuple[int, int], int] = {}
-    for s, group in table.groupby("size"):
-        offsets |= {(int(s), int(h)): o for h, o in zip(group["shard"], accumulate([0, *group["n"]]))}
-    shared = spark.sparkContext.broadcast((runs, offsets))
+    # the ranking window and this join are partitioned alike, so the items are shuffled once
+    counted = sharded.groupBy("size", "shard").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("size").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    offsets = counted.select("size", "shard", before.alias("offset"))
+    histogram = {r["size"]: r["n"] for r in counted.filter("size > 0").groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    shared = spark.sparkContext.broadcast(places(plan(histogram, capacity, window, depth)))
 
     @F.pandas_udf(T.LongType())
-    def container(size: pd.Series, shard: pd.Series, rank: pd.Series) -> pd.Series:
-        runs, offsets = shared.value
-        out = []
-        for s, h, r in zip(size, shard, rank):
+    def container(size: pd.Series, index: pd.Series) -> pd.Series:
+        runs, out = shared.value, []
+        for s, i in zip(size, index):
             if s <= 0:
                 out.append(0)
                 continue
             starts, containers, each = runs[s]
-            i = offsets[(s, h)] + r
             k = bisect_right(starts, i) - 1
             out.append(containers[k] + (i - starts[k]) // each[k])
         return pd.Series(out, dtype="int64")
 
     rank = F.row_number().over(Window.partitionBy("size", "shard").orderBy("key", "piece")) - 1
-    return sharded.withColumn("rank", rank).select("key", "piece", "size", container("size", "shard", "rank").alias("container"))
+    ranked = sharded.withColumn("rank", rank).join(offsets, ["size", "shard"])
+    return ranked.select("key", "piece", "size", container("size", F.col("rank") + F.col("offset")).alias("container"))
