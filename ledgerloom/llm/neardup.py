@@ -38,9 +38,9 @@ from ledgerloom.session import buckets_for, materialize
 WIDTH = 5
 SIMILARITY = 0.7
 MIN_CHARS = 60
-#: Words that a pair at the limit is expected to share; the chance to share none is about exp(-EQUAL_BANDS),
-#: and falls fast above the limit.
-EQUAL_BANDS = 6.0
+#: Words that a pair at the limit is expected to share, where a level allows so many (7 at least from 64 tokens on);
+#: the chance to share none is about the exponential of minus that, and falls fast above the limit.
+EQUAL_BANDS = 9.0
 #: Ratio of the sizes at the ends of a level.
 LEVEL = 2.0
 #: Words of one hash bucket, on average.
@@ -100,12 +100,11 @@ def expected_equal(size: int, bands: int, least: int, similarity: float) -> floa
 
 @lru_cache(None)
 def bands_at(level: int, similarity: float = SIMILARITY, equal: float = EQUAL_BANDS) -> int:
-    """Fewest bands with which pairs of the level's least and largest size at the limit share `equal` words on average."""
+    """Fewest bands with which pairs of the level's least and largest size at the limit share `equal` words
+    on average; if none suffice, those with which they share most."""
     bottom, top, least = LEVEL**level, LEVEL ** (level + 1), least_tokens(level)
-    bands = 4
-    while bands < top and min(expected_equal(top, bands, least, similarity), expected_equal(bottom, bands, least, similarity)) < equal:
-        bands += 1
-    return bands
+    shared = [(min(expected_equal(top, g, least, similarity), expected_equal(bottom, g, least, similarity)), g) for g in range(4, int(top))]
+    return next((g for e, g in shared if e >= equal), max(shared)[1])
 
 
 def levels_for(size: int, similarity: float = SIMILARITY) -> list[int]:

@@ -76,7 +76,7 @@ def test_words_bound_the_difference():
 @pytest.mark.parametrize("level", range(6, 13))
 def test_bands_suffice_at_both_ends(level):
     g = N.bands_at(level)
-    assert min(N.expected_equal(n, g, N.least_tokens(level), 0.7) for n in (2**level, 2 ** (level + 1))) >= 6 or g >= 2 ** (level + 1)
+    assert min(N.expected_equal(n, g, N.least_tokens(level), 0.7) for n in (2**level, 2 ** (level + 1))) >= 7
 
 
 def test_empty(spark):
