@@ -15,6 +15,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ _LEADER = regex.compile(r"(?:[.．·…_\-]\s?){6,}")
 _BLOB = regex.compile(r"[A-Za-z0-9+/=_-]{40,}")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]*>")
 _BARS = re.compile(r"\S\s*\|\s*\S")
+_NOT_WORD, _DIGIT = re.compile(r"[\W_]"), re.compile(r"\d")
 _BOX = re.compile("[□■☐☑☒√✓●○※№]")
 #: Characters that running text rarely has, for a quick look at lines that end like sentences.
 _ODD = re.compile(rf"[^\w\s，。、；：？！“”‘’（）《》「」『』…—,.;:?!'\"()%％·$€¥&/\-\[\]]|[À-ÿ{MISDECODED}{COMPONENTS}]")
@@ -56,6 +58,7 @@ _CELL_TAG = regex.compile(r"</?t[drh][^<>]*>", regex.I)
 _SPLITTERS = [("\t", regex.compile(r"\t+")), ("|", regex.compile(r"\s*[|｜│¦]\s*")), ("gap", regex.compile(r"\s{2,}|\u3000+")), (";", regex.compile(r"\s*[;；]\s*")), ("/", regex.compile(r"\s+/\s+")), (",", regex.compile(r",\s+|，\s*|,(?!\d{3}(?!\d))")), ("、", regex.compile("、")), ("space", regex.compile(r"\s+")), (":", regex.compile(r"\s*[:：=]\s*"))]
 
 
+@lru_cache(4096)  # a line is looked at as a row, for its kind and for the alignment
 def cells(line: str) -> tuple[str, list[str]]:
     """The delimiter that gives the line most cells of figures, and the cells; ('', [line]) if none does."""
     if _CELL_TAG.search(line):
@@ -171,7 +174,10 @@ def delimiter_alignment(lines: list[str]) -> float:
     """Share of neighbouring lines that have the same delimiter and nearly as many cells."""
     if len(lines) < 2:
         return 0.0
-    shape = [(d, len(p)) for d, p in map(cells, lines)]
+    shape = []
+    for line in lines:
+        delimiter, parts = ("", [line]) if plainly_prose(line) else cells(line)
+        shape.append((delimiter, len(parts)))
     return sum(a[0] == b[0] != "" and abs(a[1] - b[1]) <= 2 for a, b in zip(shape, shape[1:])) / (len(lines) - 1)
 
 
@@ -225,7 +231,7 @@ def statistics(text: str | None) -> tuple:
     share = shares(text)
     return (
         len(text), len(lines), len(words), sum(map(len, words)) / len(words) if words else 0.0,
-        sum(not c.isalnum() for c in dense) / n, sum(c.isdigit() for c in dense) / n,
+        len(_NOT_WORD.findall(dense)) / n, len(_DIGIT.findall(dense)) / n,
         sum(bool(_STOP_END.search(line)) for line in lines) / len(lines), sum(w.lower() in _COMMON for w in words) / len(words) if words else 0.0,
         delimiter_alignment(lines), marker_periodicity(lines), length_autocorrelation(lines),
         share["prose"], share["list"], share["table"], share["junk"], max(share, key=lambda k: share[k]),
