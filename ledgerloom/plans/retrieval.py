@@ -113,15 +113,16 @@ def fused_boosts(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d)[0].select("qid", "idx", "chunk_id", "score", "vec_rank", "bm25_rank")
 
 
-def _balanced(spark: SparkSession, d: str, vectors: DataFrame | None = None) -> DataFrame:
+def _balanced(spark: SparkSession, d: str, vectors: DataFrame | None = None, which: str = "panorama") -> DataFrame:
     questions = _questions(spark, d)
-    intents = fusion.question_intent(questions, table(spark, d, "companies")).filter("panorama")
+    intents = fusion.question_intent(questions, table(spark, d, "companies")).filter(which)
     two = dense.cosine_topk(vectors or _embeddings(spark, d), engine.question_embeddings(intents), 2, group="company")
     return fusion.balanced(two.withColumnRenamed("key", "chunk_id"), intents)
 
 
 def panorama_balanced(spark: SparkSession, d: str) -> DataFrame:
-    return _balanced(spark, d).select("qid", "idx", "chunk_id", "score")
+    """The balanced branch, for every question of the query set."""
+    return _balanced(spark, d, which="true").select("qid", "idx", "chunk_id", "score")
 
 
 def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -292,7 +293,7 @@ ORACLE = {
     "query_intent": f"SELECT qid, k, array_to_string(mentioned, ',') AS mentioned, prefer, array_to_string(years, ',') AS years, attribution, panorama FROM ({_INTENT.replace('@rows', '(SELECT DISTINCT id AS qid, question, coalesce(nullif(k, 0), 8) AS k FROM eval_raw)')})",
     "chunk_flags": f"SELECT company, report_type, count(*) AS n, count(*) FILTER (narrative) AS narrative, count(*) FILTER (attribution) AS attribution FROM (SELECT DISTINCT ON (chunk_id) company, report_type, regexp_matches(coalesce(text, ''), '营业收入|净利润') AND regexp_matches(coalesce(text, ''), '同比|较上年') AS narrative, contains(coalesce(text, ''), '{X.ATTRIBUTION_TEXT}') AS attribution FROM chunks) GROUP BY ALL",
     "fused_boosts": f"WITH {RANKED} SELECT qid, idx, chunk_id, score, vec_rank, bm25_rank FROM ranked",
-    "panorama_balanced": f"WITH {BALANCED} SELECT qid, idx, chunk_id, score FROM balanced",
+    "panorama_balanced": f"WITH {BALANCED.replace('WHERE panorama QUALIFY', 'QUALIFY')} SELECT qid, idx, chunk_id, score FROM balanced",
     "hybrid_search": f"WITH {EVIDENCE} SELECT qid, idx, chunk_id, score, company, report_label, section, page, type, mentioned_company FROM evidence",
     "evidence_budget": f"WITH {EVIDENCE} SELECT qid, idx, md5(line) AS line_md5, length(line) AS n FROM (SELECT qid, idx, '[' || idx || '] 《' || coalesce(company, '') || '》' || coalesce(report_label, '') || '｜' || coalesce(section, '') || '｜第' || coalesce(page::VARCHAR, '') || '页' || chr(10) || substring(coalesce(text, ''), 1, greatest(400, 12000 // count(*) OVER (PARTITION BY qid))::INT) AS line FROM evidence WHERE idx <= 16)",
     "parse_citations": "SELECT DISTINCT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\\[(\\d{1,2})\\]', 1), lambda x: x::INT))), ',') AS cited FROM eval_raw",
