@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import boilerplate, glyphs, leakage, neardup, packing, pairs, quality, sentences, splitting
-from ledgerloom.session import table
+from ledgerloom.session import materialize, table
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +39,13 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return cleaned.select(F.col("key").alias("chunk_id"), "text", "removed")
 
 
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated blocks of one or more lines, by a digest of their line identifiers."""
+    sequences = boilerplate.line_sequences(boilerplate.text_chunks(table(spark, d, "chunks")), 12)
+    blocks = boilerplate.repeated_blocks(materialize(sequences))
+    return blocks.select(F.col("source").alias("company"), F.md5("block").alias("block"), "lines", "docs")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.find_oversized(splitting.long_texts(table(spark, d, "chunks"), table(spark, d, "blocks")))
 
@@ -93,7 +100,7 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_coverage, p2_found, p2_normalised, p3_found, p3_cleaned, p4_found, p4_pieces, p5_found, p5_statistics,
+        p1_found, p1_coverage, p2_found, p2_normalised, p3_found, p3_cleaned, p3_blocks, p4_found, p4_pieces, p5_found, p5_statistics,
         p6_found, p6_groups, p7_containers, p8_found, p8_spans, p9_found, p9_sentences,
     )
 }
