@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one bucket of a grouped Python task may hold on average.
 BUCKET_ROWS = 400_000
+_OWN: set[str] = set()
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -50,10 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
+    own = os.path.join(tempfile.gettempdir(), f"ledgerloom-{spark.sparkContext.applicationId}")
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return f"file://{own}"
 
 
