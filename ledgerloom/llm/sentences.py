@@ -18,7 +18,6 @@ from typing import NamedTuple
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Marks that end sentences; marks that may follow them; paired marks.
 STOPS = "。｡．.！!？?؟։।॥።︒﹒﹗﹖⁈⁉‼⁇"
@@ -225,26 +224,28 @@ def sentence_ends(text: str | None) -> list[int]:
     return out
 
 
-def sentence_bounds(documents: DataFrame) -> DataFrame:
-    """doc_id, sentence, sent_start, sent_end of every sentence; documents(doc_id, text)."""
-
+def _segmented(documents: DataFrame, with_text: bool) -> DataFrame:
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 begin = 0
                 for n, end in enumerate(sentence_ends(text)):
-                    piece = text[begin:end]
-                    rows.append((doc_id, n, end - len(piece.lstrip()), end))
+                    piece = text[begin:end].lstrip()
+                    rows.append((doc_id, n, end - len(piece), end, piece if with_text else None))
                     begin = end
-            yield pd.DataFrame(rows, columns=["doc_id", "sentence", "sent_start", "sent_end"])
+            yield pd.DataFrame(rows, columns=["doc_id", "sentence", "sent_start", "sent_end", "text"])
+
+    return documents.mapInPandas(segment, "doc_id bigint, sentence int, sent_start int, sent_end int, text string")
 
+
+def sentence_bounds(documents: DataFrame) -> DataFrame:
+    """doc_id, sentence, sent_start, sent_end of every sentence; documents(doc_id, text).
+    Repeated rows are told by their bounds, so that no text is shuffled."""
     rows = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return rows.mapInPandas(segment, "doc_id bigint, sentence int, sent_start int, sent_end int").distinct()
+    return _segmented(rows, False).drop("text").distinct()
 
 
 def sentences(documents: DataFrame) -> DataFrame:
-    """doc_id, sentence, sent_end, text: each sentence in order, line wraps as they are."""
-    bounds = sentence_bounds(documents)
-    texts = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").distinct()
-    return texts.join(bounds, "doc_id").select("doc_id", "sentence", "sent_end", F.expr("substring(text, sent_start + 1, sent_end - sent_start)").alias("text"))
+    """doc_id, sentence, sent_start, sent_end, text: each sentence in order, line wraps as they are."""
+    return _segmented(documents.select("doc_id", "text").filter("doc_id is not null and text is not null").distinct(), True)
