@@ -44,7 +44,7 @@ EQUAL_BANDS = 9.0
 #: Ratio of the sizes at the ends of a level.
 LEVEL = 2.0
 #: Words of one hash bucket, on average.
-BUCKET_WORDS = 1_500_000
+BUCKET_WORDS = 800_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,29 +164,18 @@ def equal_words(sketches: DataFrame, buckets: int) -> DataFrame:
     """word, content of all words that at least two different contents have."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # the rows of a bucket stand together; one bucket is held at a time
-        current, held = None, []
-
-        def flush() -> pd.DataFrame:
+        # a partition is one bucket
+        held = [np.frombuffer(packed, dtype=np.int64).reshape(-1, 2) for pdf in batches for packed in pdf["packed"]]
+        if held:
             pairs = np.concatenate(held)
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             new = np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))
             pairs = pairs[new]
             same = pairs[1:, 0] == pairs[:-1, 0]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            return pd.DataFrame({"word": pairs[keep, 0], "content": pairs[keep, 1]})
-
-        for pdf in batches:
-            for bucket, packed in zip(pdf["bucket"], pdf["packed"]):
-                if bucket != current and held:
-                    yield flush()
-                    held = []
-                current = bucket
-                held.append(np.frombuffer(packed, dtype=np.int64).reshape(-1, 2))
-        if held:
-            yield flush()
+            yield pd.DataFrame({"word": pairs[keep, 0], "content": pairs[keep, 1]})
 
-    return sketches.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(match, "word bigint, content bigint")
+    return sketches.repartitionById(buckets, F.col("bucket").cast("int")).mapInPandas(match, "word bigint, content bigint")
 
 
 def candidates(matches: DataFrame) -> DataFrame:
