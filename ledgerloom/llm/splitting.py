@@ -43,7 +43,7 @@ def strengths(text: str) -> np.ndarray:
     next_space = np.append(space[1:] | isin("\n")[1:], True)
     prev_digit = np.insert(digit[:-1], 0, False)
     clause = isin(CLAUSE_ENDS) & ~(prev_digit & next_digit)
-    sentence = isin(SENTENCE_ENDS) & ~(prev_digit & next_digit) | (codes == 46) & next_space & ~prev_digit | (codes == 46) & next_space & (n > 0)
+    sentence = isin(SENTENCE_ENDS) & ~(prev_digit & next_digit) | (codes == 46) & next_space
     after[1:][space] = 1
     after[1:][clause] = 2
     after[1:][sentence] = 3
