@@ -13,7 +13,7 @@ from ledgerloom.functions import text as X
 LEVELS = (2, 3, 4, 5)
 
 
-def _order(*more):
+def _order():
     return Window.partitionBy("doc_id").orderBy("page", "seq")
 
 
