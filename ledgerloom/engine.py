@@ -71,7 +71,8 @@ class KnowledgeBase:
         comparing = intents.filter("panorama")
         two = dense.cosine_topk(t["embeddings"], vectors.join(comparing.select("qid"), "qid", "left_semi"), 2, group="company")
         balanced = fusion.balanced(two.withColumnRenamed("key", "chunk_id"), comparing).select("qid", "idx", "chunk_id", "score")
-        return fusion.with_chunks(plain.unionByName(balanced), t["chunks"], intents)
+        # k rows a question; written, as ranking and texts read them
+        return fusion.with_chunks(materialize(plain.unionByName(balanced)), t["chunks"], intents)
 
     def answer(self, questions: DataFrame, generator: Callable[[str], str] = answering.extractive) -> DataFrame:
         """qid, question, k, answer, evidence, citations."""
