@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one bucket of a grouped Python task may hold on average.
 BUCKET_ROWS = 400_000
@@ -78,6 +79,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has at most so many rows; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def buckets_for(rows: int, per_bucket: int = BUCKET_ROWS, least: int = 1) -> int:
     """Number of hash buckets so that each holds about per_bucket rows."""
     return max(least, -(-rows // per_bucket))
