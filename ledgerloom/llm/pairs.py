@@ -60,6 +60,7 @@ _CLAUSE = regex.compile(r"(?:[^。！？!?；;，\n,.]|(?<=\d)[,.](?=\d)|\.(?!\s
 _STOP = regex.compile(r"[。．.！!？?…][”’」』）)》\"'*]*$")
 _VALUE = regex.compile(r"^[^。！？\n]{0,24}?[+-]?\d[\d,]*(?:\.\d+)?\s*(?:%|％|个?百分点|[\p{Han}]{1,4}|[A-Za-z]{1,8}(?: [A-Za-z]{1,8})?)?$")
 _BARE_VALUE = regex.compile(r"^[+-]?\d[\d,]*(?:\.\d+)?\s*(?:%|％|个?百分点|\p{Han}{1,4}|[A-Za-z]{1,8})?$")
+_STATED = regex.compile(r"^(?:[是否对有]，)?\p{Han}{2,10}(?:为|是|：)\d[\d,]*(?:\.\d+)?(?:%|％|\p{Han}{1,3})$")
 _GROUPED = regex.compile(r"(?<![\d,.])\d{1,3}(?:,\d{3})*,\d{0,2}[.,，。]?$")
 _ENTRY = regex.compile(r"^\s*(?:[-•·*●]|\d+[.)、]|[（(]\w+[)）])\s*\S")
 _FUNCTION_END = regex.compile(r"(?:\b(?:the|a|an|of|and|or|to|in|on|at|for|with|by|from|as|that|which|while|because|but|after|before|than|into|see|is|was|were|are|und|der|die|das|mit|von|für)|但|而|且|并且|而且|以及|和|与|及|其中|因为|由于|如果|虽然|包括|是|的|为|在|将|对|把|被|向|从|或|于|至|由|让|使)$", regex.I)
@@ -303,7 +304,7 @@ class Field:
 
 
 def _cut_copies(answer: str, rng: random.Random) -> list[tuple[str, bool]]:
-    """(text, cut?): the answer cut within its last sentence, and without its full stop."""
+    """(text, cut?): the answer cut within its last sentence, cut after an opened mark or a separator, and without its full stop."""
     body = _CITATION.sub("", answer).rstrip()
     if not _STOP.search(body) or len(body) < 24 or "\n" in body[-30:]:
         return []
@@ -312,7 +313,7 @@ def _cut_copies(answer: str, rng: random.Random) -> list[tuple[str, bool]]:
     if len(bare) - start < 12:
         return []
     at = rng.randrange(start + 4, len(bare) - 2)
-    return [(bare[:at], True), (bare, False)]
+    return [(bare[:at], True), (bare + rng.choice(("[", "[1", "[12", "，", "、", "（", "为2,53", "为14,")), True), (bare, False)]
 
 
 def train_field(pairs: list[tuple[str | None, str | None]], ends: frozenset[str] = frozenset(), seed: int = 7) -> Field:
@@ -373,7 +374,7 @@ def ends_complete(answer: str) -> bool:
     """Ends with a sentence mark, or is a short value or word, without any sign of a cut."""
     body = strip_citations(answer).strip().rstrip("*").rstrip()
     last = body.rsplit("\n", 1)[-1]
-    return not structurally_cut(answer) and (bool(_STOP.search(body)) or bool(_BARE_VALUE.match(body)) or len(body) <= 4 or bool(_ENTRY.match(last)))
+    return not structurally_cut(answer) and (bool(_STOP.search(body)) or bool(_BARE_VALUE.match(body)) or bool(_STATED.match(body)) or len(body) <= 4 or bool(_ENTRY.match(last)))
 
 
 def looks_cut(answer: str, ends: frozenset[str]) -> bool:
