@@ -12,6 +12,10 @@ at the limit shares EQUAL_BANDS of them on average, be it among the smallest or
 of the level.  Words of a few tokens, which unlike texts share by chance, aren't used;
 both texts of a pair agree on that, as an equal word has equal tokens.
 
+Texts of few distinct tokens (short ones, and long ones that repeat themselves) leave
+bands empty, so no number of words is certain to be shared.  Pairs of them share at least
+one of their first tokens in hash order (prefix filter), and those are their words.
+
 Copies (equal but for white space) have one sketch, so they are one record in the join
 and come apart only in the result.  All words are sorted in hash buckets whose number
 follows the data; no bucket depends on a hot text, as equal records fall together
@@ -43,6 +47,8 @@ MIN_CHARS = 60
 EQUAL_BANDS = 9.0
 #: Ratio of the sizes at the ends of a level.
 LEVEL = 2.0
+#: Pairs of texts of fewer distinct tokens are found by their first tokens, without exception; the levels begin here.
+FEW_TOKENS = 64
 #: Words of one hash bucket, on average.
 BUCKET_WORDS = 800_000
 
@@ -108,8 +114,13 @@ def bands_at(level: int, similarity: float = SIMILARITY, equal: float = EQUAL_BA
 
 
 def levels_for(size: int, similarity: float = SIMILARITY) -> list[int]:
-    """The levels of the larger text of any pair that this text may be in."""
-    return list(range(level_of(size), level_of(int(size / similarity)) + 1))
+    """The levels of the larger text of any pair that this text may be in, as far as it has FEW_TOKENS or more."""
+    return list(range(max(level_of(size), level_of(FEW_TOKENS)), level_of(int(size / similarity)) + 1))
+
+
+def first_tokens(tokens: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """So many of the tokens, in hash order, that any text similar enough has one of them among its own first."""
+    return tokens[: len(tokens) - math.ceil(similarity * len(tokens) - 1e-9) + 1]
 
 
 def parity_words(tokens: np.ndarray, bands: int, least: int, salt: int) -> np.ndarray:
@@ -141,6 +152,9 @@ def sketch(docs: DataFrame, buckets: int, similarity: float = SIMILARITY, width:
                     continue
                 known.add(content)
                 tokens = shingles(squeezed, width)
+                if len(tokens) < FEW_TOKENS:
+                    words.append(first_tokens(tokens, similarity))
+                    owners.append(np.full(len(words[-1]), content, dtype=np.int64))
                 for level in levels_for(len(tokens), similarity):
                     w = parity_words(tokens, bands_at(level, similarity), least_tokens(level), level)
                     words.append(w)

@@ -43,6 +43,36 @@ def test_pairs_equal_brute_force(spark):
     assert all(got[p] == pytest.approx(want[p]) for p in got)
 
 
+def test_texts_of_few_distinct_substrings(spark):
+    rng = random.Random(8)
+    rows = [("d60", "-" * 60), ("d75", "-" * 75), ("z", "0" * 70), ("p2", "ab" * 35), ("p2b", "ab" * 40), ("p3", "abc" * 30), ("lead", "目录" + "." * 70), ("lead2", "附录" + "." * 71)]
+    for period in range(1, 61):
+        for i in range(4):
+            unit = [chr(0x4E00 + period * 300 + i * 60 + j) for j in range(period)]
+            for j, n in enumerate((62, 71, 90, 120)):
+                text = list((unit * 120)[: max(n, period + 4)])
+                for _ in range(rng.randrange(3) if j else 0):
+                    text[-1 - rng.randrange(4)] = chr(0x9000 + rng.randrange(500))
+                rows.append((f"r{period}_{i}_{j}", "".join(text)))
+    got = {(r["key_a"], r["key_b"]): r["similarity"] for r in N.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute(rows)
+    assert set(got) == set(want) and ("d60", "d75") in got and ("p2", "p2b") in got and len(got) > 500
+    assert all(got[p] == pytest.approx(want[p]) for p in got)
+
+
+@pytest.mark.parametrize("size", range(1, N.FEW_TOKENS))
+def test_first_tokens_meet_at_the_limit(size):
+    rng = random.Random(size)
+    for smaller in range(1, size + 1):
+        shared = next((k for k in range(smaller + 1) if 10 * k >= 7 * (size + smaller - k)), None)
+        if shared is None:
+            continue
+        for _ in range(20):
+            pool = rng.sample(range(10**6), size + smaller - shared)
+            a, b = (N.np.sort(N.np.array(x, dtype=N.np.uint64)) for x in (pool[:size], pool[size - shared :]))
+            assert len(N.np.intersect1d(a, b)) == shared and len(N.np.intersect1d(N.first_tokens(a), N.first_tokens(b)))
+
+
 def test_groups_are_the_components(spark):
     rows = variants(5, 40)
     got = {r["key"]: r["group"] for r in N.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
