@@ -8,6 +8,9 @@ more lines; the lines of blocks that span enough documents are deleted.
 A hot source or line is split over many partitions, as the range partitioning includes
 the document; blocks cut by a partition border are put together afterwards.
 
+The suffixes are kept short; longer blocks are counted in rounds that double the length,
+only where a block of the length before is repeated (blocks_of_any_length).
+
 Defined results: null and empty texts have no lines but count as documents of their
 source; lines shorter than min_chars end a block; rows without source or key give no
 cases; repeated rows count once; an empty table gives an empty result.
@@ -15,6 +18,7 @@ cases; repeated rows count once; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialize
+from ledgerloom.session import broadcast_if_small, materialize
 
-#: Lines of the longest block that is counted as one; a longer one comes out as overlapping blocks of this length.
+#: Lines of the suffixes, and so of the longest block that the suffix array counts as one.
 MAX_BLOCK = 8
 #: Repeated blocks are broadcast up to this many, else joined by shuffle.
 BROADCAST_BLOCKS = 200_000
@@ -153,6 +157,63 @@ def repeated_blocks(sequences: DataFrame, min_docs: int = 5, min_share: float =
     )
 
 
+def document_prefixes(versions: list, starts: list[tuple[int, int]], least: int, most: int) -> Iterator[tuple[int, int, int, str]]:
+    """(version, start, lines, MD5 of the line identifiers) of the blocks of least to most lines that begin at the starts."""
+    packed = [np.asarray(ids, dtype=">i8") for ids in versions]
+    gaps = [np.append(np.flatnonzero(ids == 0), len(ids)) for ids in packed]
+    held = [ids.tobytes() for ids in packed]
+    for v, i in starts:
+        end = int(gaps[v][np.searchsorted(gaps[v], i)])
+        if end - i < least:
+            continue
+        digest = hashlib.md5(held[v][8 * i : 8 * (i + least)])
+        yield v, i, least, digest.hexdigest()
+        for stop in range(i + least + 1, min(end, i + most) + 1):
+            digest.update(held[v][8 * (stop - 1) : 8 * stop])
+            yield v, i, stop - i, digest.hexdigest()
+
+
+def blocks_of_any_length(sequences: DataFrame, min_docs: int = 5, min_share: float = 0.02, max_block: int = MAX_BLOCK) -> DataFrame:
+    """source, block (MD5 of its line identifiers), lines, docs: as repeated_blocks, without a longest block.
+
+    A block is in no more documents than its own beginning, so only the places where a
+    block of n lines is repeated are looked at for n + 1 to 2n lines.
+    """
+    totals = materialize(sequences.groupBy("source").agg(F.count("*").alias("total")))
+    found = [materialize(repeated_blocks(sequences, min_docs, min_share, max_block).withColumn("block", F.md5("block")))]
+    docs, n = None, max_block
+    while found[-1].filter(F.col("lines") == n).limit(1).count():
+
+        def beginnings(batches: Iterator[pd.DataFrame], n: int = n, first: bool = docs is None) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = []
+                for source, key, versions, *starts in pdf.itertuples(index=False):
+                    places = [(v, i) for v, ids in enumerate(versions) for i, x in enumerate(ids) if x] if first else [(p["v"], p["i"]) for p in starts[0]]
+                    rows += [(source, key, v, i, d) for v, i, lines, d in document_prefixes(versions, places, n, n + 1) if lines == n]
+                yield pd.DataFrame(rows, columns=["source", "key", "v", "i", "block"])
+
+        def longer(batches: Iterator[pd.DataFrame], n: int = n) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = []
+                for source, versions, starts in zip(pdf["source"], pdf["versions"], pdf["starts"]):
+                    places = [(p["v"], p["i"]) for p in starts]
+                    rows += [(source, *b) for b in {(lines, d) for _, _, lines, d in document_prefixes(versions, places, n + 1, 2 * n)}]
+                yield pd.DataFrame(rows, columns=["source", "lines", "block"])
+
+        repeated = broadcast_if_small(found[-1].filter(F.col("lines") == n).select("source", "block"), BROADCAST_BLOCKS)
+        places = (sequences if docs is None else docs).mapInPandas(beginnings, "source string, key string, v int, i int, block string")
+        starts = places.join(repeated, ["source", "block"], "left_semi").groupBy("source", "key").agg(F.collect_list(F.struct("v", "i")).alias("starts"))
+        docs = materialize(sequences.join(starts, ["source", "key"]).select("source", "key", "versions", "starts"))
+        counted = docs.mapInPandas(longer, "source string, lines int, block string").groupBy("source", "block", "lines").agg(F.count("*").alias("docs"))
+        kept = counted.filter(F.col("docs") >= min_docs).join(totals, "source").filter(F.col("docs") >= F.col("total") * F.lit(min_share))
+        found.append(materialize(kept.select("source", "block", "lines", "docs")))
+        n *= 2
+    out = found[0]
+    for blocks in found[1:]:
+        out = out.unionByName(blocks)
+    return out
+
+
 def _lines_of(sequences: DataFrame) -> DataFrame:
     """source, key, line_no, id (as bytes) of every counting line."""
     version = sequences.select("source", "key", F.explode("versions").alias("ids"))

@@ -42,8 +42,8 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The repeated blocks of one or more lines, by a digest of their line identifiers."""
     sequences = boilerplate.line_sequences(boilerplate.text_chunks(table(spark, d, "chunks")), 12)
-    blocks = boilerplate.repeated_blocks(materialize(sequences))
-    return blocks.select(F.col("source").alias("company"), F.md5("block").alias("block"), "lines", "docs")
+    blocks = boilerplate.blocks_of_any_length(materialize(sequences))
+    return blocks.select(F.col("source").alias("company"), "block", "lines", "docs")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -50,6 +50,42 @@ def test_blocks_are_common_prefixes(spark):
     assert blocks == {(1, 30), (1, 31), (2, 30)}
 
 
+def test_blocks_of_any_length_equal_brute_force(spark):
+    rng = random.Random(3)
+    notice = [f"这是重复出现的很长声明里的一行文字{chr(0x4E00 + i)}" for i in range(37)]
+    rows = []
+    for i in range(24):
+        own = [f"独有的一行正文内容写在这里{chr(0x5E00 + 40 * i + j)}" for j in range(12)]
+        a = rng.randrange(4)
+        b = rng.choice([9, 16, 17, 31, 37])
+        lines = own[:2] + notice[a:b] + (["短"] if i % 5 == 0 else []) + (own[2:] if i % 2 else notice[3:14])
+        rows.append(("s" if i % 4 else "t", f"k{i}", "\n".join(lines)))
+    rows += [rows[0], ("s", "k1", "\n".join(notice[5:30]))]  # two versions of one key
+    want, total = defaultdict(set), defaultdict(set)
+    for source, key, text in rows:
+        total[source].add(key)
+        ids = B.line_ids(text, 12)
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids) + 1):
+                if not ids[j - 1]:
+                    break
+                want[source, tuple(ids[i:j])].add(key)
+    want = {(s, B.hashlib.md5(B.np.asarray(block, dtype=">i8").tobytes()).hexdigest(), len(block), len(keys)) for (s, block), keys in want.items() if len(keys) >= max(5, 0.02 * len(total[s]))}
+    sequences = B.line_sequences(spark.createDataFrame(rows, SCHEMA).repartition(5), 12)
+    got = [tuple(r) for r in B.blocks_of_any_length(sequences).select("source", "block", "lines", "docs").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(r[2] for r in got) > 16
+
+
+def test_a_query_has_the_whole_long_block(spark, tmp_path):
+    from ledgerloom.llm.queries import p3_blocks
+
+    text = "\n".join(f"这是重复出现的很长声明里的一行文字{chr(0x4E00 + i)}" for i in range(20))
+    rows = [("c", "text", f"k{i}", text) for i in range(6)]
+    spark.createDataFrame(rows, "company string, type string, chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = p3_blocks(spark, str(tmp_path)).collect()
+    assert len(got) == 210 and max(r["lines"] for r in got) == 20 and {r["docs"] for r in got} == {6}
+
+
 def test_groups_cut_by_partition_borders_add_up():
     a, b = b"\0" * 7 + b"\1", b"\0" * 7 + b"\2"
     stretch = lambda n: pd.DataFrame({"source": ["s"] * n, "suffix": [a + b] * n, "known": [0] * n})
