@@ -2,8 +2,10 @@
 
 Method: tables and lists show in the layout: delimiters that line up from line to line,
 markers and indents that repeat, line lengths that resemble their neighbours'
-(autocorrelation).  Together with word, symbol and punctuation ratios they give each
-line a kind (prose, list, table, junk); the kinds are weighed by their characters.
+(autocorrelation).  Each line gets a kind (prose, list, table, junk) by its own marks and
+figures; delimiters that align over neighbouring lines make rows of what else would be
+entries or prose, unless a repeated marker shows two-part entries of a list.  The kinds
+are weighed by their characters.  The autocorrelation and the ratios are figures only.
 
 Defined results: null and blank texts have zero counts, null ratios and kind null; texts
 are read whole; repeated rows give one row.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 CONTRADICTION = 0.6
 #: A list entry has at most this many characters, and a list at least so many entries in a row.
 ENTRY_CHARS, LIST_ENTRIES = 48, 3
+#: Lines without figures are rows if at least so many in a row have aligned cells.
+ALIGNED_ROWS = 3
 
 # Frequent words of running text; parts of characters that don't occur as words; Windows-1252 characters of wrongly decoded bytes.
 COMMON_WORDS = {
@@ -76,6 +80,44 @@ def cells(line: str) -> tuple[str, list[str]]:
     return best
 
 
+#: What holds cells of words apart: name, pattern, least cells of a row, most characters of a cell.  A single space does so between Han words only.
+_COLUMNS = [
+    ("gap", regex.compile(r"\s{2,}|\u3000+|\t+"), 2, ENTRY_CHARS), ("/", regex.compile(r"\s+[/／]\s+|／"), 2, ENTRY_CHARS), (";", regex.compile(r"\s*[;；]\s*"), 2, ENTRY_CHARS),
+    (",", regex.compile(r",(?!\s|\d{3}(?!\d))"), 3, ENTRY_CHARS), (", ", regex.compile(r",\s+"), 3, 16), ("space", regex.compile(r" (?=\p{Han})(?<=\p{Han} )"), 3, 16),
+]
+_ORDINAL = regex.compile(r"^(?:第\s*[\d一二三四五六七八九十百]+\s*[章节条部篇]|(?i:chapter|section|article|part|kapitel|abschnitt)\s+[\dIVX]+)")
+_SENTENCE_MARK = regex.compile(r"[。！？]")
+
+
+@lru_cache(4096)
+def columns(line: str) -> dict[str, tuple[int, ...]]:
+    """The delimiters that divide the line into cells of words or figures, each with the offsets (full-width characters count twice) where its cells begin."""
+    body = line.strip().rstrip(";；")
+    if _SENTENCE_MARK.search(body):
+        return {}
+    found = {}
+    for name, splitter, least, most in _COLUMNS:
+        cuts = [m.span() for m in splitter.finditer(body)]
+        if len(cuts) + 1 < least:
+            continue
+        begins, ends = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(body)]
+        parts = [body[a:b] for a, b in zip(begins, ends)]
+        if any(len(x) > most or _CLAUSE.search(x) for x in parts) or sum(map(bool, parts)) < 2 or (body[-1] in ".!?．" and parts[-1].count(" ") > 2):
+            continue
+        wide = [0]
+        for c in line[: len(line) - len(line.lstrip())] + body:
+            wide.append(wide[-1] + 1 + (unicodedata.east_asian_width(c) in "WF"))
+        indent = len(line) - len(line.lstrip())
+        found[name] = tuple(wide[indent + a] for a in begins)
+    return found
+
+
+def aligned(a: str, b: str) -> frozenset[str]:
+    """The delimiters by which two lines have as many cells, or cells at the same offsets where one lacks some."""
+    x, y = columns(a), columns(b)
+    return frozenset(d for d in x.keys() & y.keys() if len(x[d]) == len(y[d]) or d == "gap" and (set(x[d]) <= set(y[d]) or set(y[d]) <= set(x[d])))
+
+
 def is_row(line: str) -> bool:
     """A label and figures, or figures alone, or cells between bars or tags."""
     delimiter, parts = cells(line)
@@ -141,8 +183,10 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
     """(kind, characters without white space) of each line that isn't blank; kinds prose, list, table, junk."""
     lines = [line for line in text.split("\n") if line.strip()]
     kinds: list[str] = []
+    sentence: list[bool] = []
     for line in lines:
-        if plainly_prose(line):
+        sentence.append(plainly_prose(line))
+        if sentence[-1]:
             kinds.append("prose")
             continue
         body = _MARKER.sub("", line).strip()
@@ -153,6 +197,21 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
         else:
             short = len(body) <= ENTRY_CHARS and not _STOP_IN.search(body) and not _CLAUSE.search(body) and not body.endswith(("；", ";"))
             kinds.append("entry" if short else "prose")
+    # lines whose cells are aligned are rows, unless they are entries of two parts behind a shared marker
+    i = 0
+    while i < len(kinds):
+        j, shared = i + 1, None
+        while kinds[i] != "junk" and j < len(kinds) and kinds[j] != "junk" and not sentence[i] and not sentence[j]:
+            both = aligned(lines[j - 1], lines[j])
+            if not (both if shared is None else both & shared):
+                break
+            shared, j = both if shared is None else both & shared, j + 1
+        heads = ["- " if _ORDINAL.match(x.strip()) else x.strip() for x in lines[i:j]]
+        if j - i >= ALIGNED_ROWS and (any(len(columns(lines[i])[d]) > 2 for d in shared) or marker_periodicity(heads) < 0.5):
+            kinds[i:j] = ["table"] * (j - i)
+            i = j
+        else:
+            i = max(i + 1, j - 1)
     # entries make a list if enough of them stand in a row, or if they share a marker
     i = 0
     while i < len(kinds):
@@ -171,14 +230,15 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
 
 
 def delimiter_alignment(lines: list[str]) -> float:
-    """Share of neighbouring lines that have the same delimiter and nearly as many cells."""
+    """Share of neighbouring lines that have the same delimiter and nearly as many cells, or aligned cells of words."""
     if len(lines) < 2:
         return 0.0
     shape = []
     for line in lines:
-        delimiter, parts = ("", [line]) if plainly_prose(line) else cells(line)
-        shape.append((delimiter, len(parts)))
-    return sum(a[0] == b[0] != "" and abs(a[1] - b[1]) <= 2 for a, b in zip(shape, shape[1:])) / (len(lines) - 1)
+        prose = plainly_prose(line)
+        delimiter, parts = ("", [line]) if prose else cells(line)
+        shape.append((delimiter, len(parts), prose, line))
+    return sum((a[0] == b[0] != "" and abs(a[1] - b[1]) <= 2) or (not a[2] and not b[2] and bool(aligned(a[3], b[3]))) for a, b in zip(shape, shape[1:])) / (len(lines) - 1)
 
 
 def marker_periodicity(lines: list[str]) -> float:
@@ -211,7 +271,7 @@ STATS = {
 
 
 def shares(text: str | None) -> dict[str, float]:
-    """Share of the characters in lines of each kind; of the aligned lines of a table none is a list."""
+    """Share of the characters in lines of each kind; aligned lines are rows of a table, none is a list."""
     weights = dict.fromkeys(("prose", "list", "table", "junk"), 0)
     if text:
         for kind, n in line_kinds(text):

@@ -24,6 +24,35 @@ def test_contradiction(type_, text, kind):
     assert Q.contradiction(type_, text) == kind
 
 
+ROWS = [("甲公司", "北京", "良好"), ("乙股份", "上海浦东", "一般"), ("丙集团", "广州", "良好"), ("丁实业", "成都", "较差")]
+
+
+@pytest.mark.parametrize("delimiter", ["  ", "    ", "\u3000", "\u3000\u3000", " / ", "；", "; ", ";", ",", ", ", " ", "\t"])
+def test_aligned_cells_of_words_are_a_table(delimiter):
+    text = "\n".join(delimiter.join(row) for row in ROWS)
+    assert Q.contradiction("text", text) == "table" and Q.contradiction("table", text) is None
+    assert Q.delimiter_alignment(text.split("\n")) == 1
+    assert Q.contradiction("text", text + "\n" + PROSE * 3) is None
+
+
+def test_a_gap_where_a_cell_is_missing():
+    text = "Subsidiary          Seat        Rating\nNorth Works Ltd.    Kiel        good\nSouth Works                     fair\nWest Works          Bremen      good"
+    assert Q.contradiction("text", text) == "table"
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("\n".join(f"{i}. {a} / {b}" for i, (a, b, _) in enumerate(ROWS, 1)), "list"), ("\n".join(f"第{n}节\u3000{x}" for n, x in zip("一二三四", ("重要提示", "公司简介", "业务概要", "公司治理"))), "list"), ("\n".join(f"low power {x}" for x in ("fixture", "antenna", "module")), "list"),
+        ("The board moved lines to the site, which\nwas secure after weaker demand, and said\nthat costs rose in the month, while sales\nfell.", None),
+        ("受汇率波动影响，毛利下降；高端备件略超计划，\n董事会认为这属于短期扰动；公司将继续投入，\n并扩大产能；管理层对前景表示乐观，预计\n明年恢复增长。", None),
+        ("甲公司  北京\n乙公司  上海", None),
+    ],
+)
+def test_lists_and_wrapped_prose_are_no_aligned_tables(text, kind):
+    assert Q.contradiction("text", text) == kind
+
+
 def test_a_glance_never_changes_the_answer():
     for type_ in ("text", "table"):
         for text in (PROSE, LIST, TABLE, PROSE + "\n" + LIST, TABLE + "\n" + PROSE):
