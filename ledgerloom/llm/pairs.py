@@ -222,7 +222,7 @@ def structurally_cut(answer: str) -> bool:
     body = strip_citations(answer).rstrip().rstrip("*").rstrip()
     if not body:
         return False
-    return open_bracket(body[-400:]) or body[-1] in "，,、：:；;（(《“[" or bool(_GROUPED.search(body)) or bool(_FUNCTION_END.search(body))
+    return open_bracket(body) or body[-1] in "，,、：:；;（(《“[" or bool(_GROUPED.search(body)) or bool(_FUNCTION_END.search(body))
 
 
 def cue_labels(parts: list[Clause], answer: str, context: Context, cut: bool) -> list[int]:

@@ -76,3 +76,10 @@ def test_empty_and_long(spark):
     long = "公司推进了量产订单。" * 5000
     got = P.tagged(spark.createDataFrame([("a", "毛利是多少？", long), ("b", None, None)], schema)).collect()
     assert {r["id"]: r["defect"] for r in got} == {"a": None, "b": "empty"}
+
+
+@pytest.mark.parametrize("mark", ["“”", "（）", "《》", "[]"])
+def test_a_mark_left_open_long_before_the_end_is_a_cut(mark):
+    said = "公司推进了量产订单，并增设网点以应对渠道去库存。" * 40
+    assert P.structurally_cut(f"董事会表示{mark[0]}{said}") and not P.ends_complete(f"董事会表示{mark[0]}{said}")
+    assert not P.structurally_cut(f"董事会表示{mark[0]}{said}{mark[1]}{said}") and P.ends_complete(f"董事会表示{mark[0]}{said}{mark[1]}{said}")
