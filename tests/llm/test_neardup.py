@@ -60,6 +60,64 @@ def test_texts_of_few_distinct_substrings(spark):
     assert all(got[p] == pytest.approx(want[p]) for p in got)
 
 
+def test_guaranteed_bands_miss_no_pair(spark):
+    rng = random.Random(12)
+    rows = variants(6, 50)
+    for i in range(150):  # at the limit: as many changes as the similarity just allows
+        n = rng.choice([60, 64, 75, 100, 127, 140, 300, 520])
+        base = [chr(0x4E00 + rng.randrange(9000)) for _ in range(n)]
+        other = list(base)
+        for at in range(0, n - 2, max(6, 5 * n // max(1, round(0.17 * n)))):
+            other[at] = chr(0x4E00 + rng.randrange(9000))
+        rows += [(f"l{i}a", "".join(base)), (f"l{i}b", "".join(other))]
+    got = {(r["key_a"], r["key_b"]) for r in N.similar_pairs(spark.createDataFrame(rows, SCHEMA), guaranteed=True).collect()}
+    assert got == set(brute(rows))
+
+
+def test_a_guaranteed_pair_shares_a_word():
+    rng = random.Random(2)
+    for n in (64, 90, 127, 128, 200, 500):
+        for _ in range(60):
+            smaller = rng.randrange(-(-7 * n // 10), n + 1)
+            shared = next(k for k in range(smaller + 1) if 10 * k >= 7 * (n + smaller - k))
+            pool = [rng.getrandbits(64) for _ in range(n + smaller - shared)]
+            a, b = (N.np.sort(N.np.array(x, dtype=N.np.uint64)) for x in (pool[:n], pool[n - shared :]))
+            x, y = (set(N.np.concatenate(list(N.text_words(t, guaranteed=True))).tolist()) for t in (a, b))
+            assert x & y
+
+
+def test_sketch_distance_is_a_lower_bound():
+    rng = random.Random(3)
+    for n, m in ((80, 60), (300, 290), (1000, 700), (5000, 3600)):
+        pool = [rng.getrandbits(64) for _ in range(n + m)]
+        for shared in (0, m // 2, m):
+            a, b = (N.np.sort(N.np.array(x, dtype=N.np.uint64)) for x in (pool[:n], pool[n - shared : n - shared + m]))
+            assert N.sketch_distance(N.bit_sketch(a), N.bit_sketch(b)) <= len(N.np.setxor1d(a, b))
+    assert N.sketch_distance(N.bit_sketch(a), N.bit_sketch(a)) == 0
+
+
+def test_hot_words_are_split_and_lose_no_pair(spark):
+    matches = spark.createDataFrame([(1, i) for i in range(90)] + [(2, i) for i in range(80, 95)] + [(1, 3)], "word bigint, content bigint")
+    got = {(r["a"], r["b"]) for r in N.candidates(matches, hot=7).collect()}
+    assert got == {(i, j) for i in range(90) for j in range(i + 1, 90)} | {(i, j) for i in range(80, 95) for j in range(i + 1, 95)}
+
+
+def test_full_buckets_pass_on_frequent_words(spark):
+    rng = random.Random(5)
+    rows = [(7, c) for c in range(400)] + [(w, rng.randrange(1000)) for w in range(100, 300) for _ in range(rng.randrange(1, 4))]
+    rng.shuffle(rows)
+    packed = [(0, N.np.array(rows[i : i + 25], dtype=N.np.int64).tobytes()) for i in range(0, len(rows), 25)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = N.equal_words(spark.createDataFrame([(b, bytearray(x)) for b, x in packed], "bucket bigint, packed binary"), 1, most=120, hot=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    holders = {}
+    for w, c in rows:
+        holders.setdefault(w, set()).add(c)
+    assert {(r["word"], r["content"]) for r in got} == {(w, c) for w, cs in holders.items() if len(cs) > 1 for c in cs}
+
+
 @pytest.mark.parametrize("size", range(1, N.FEW_TOKENS))
 def test_first_tokens_meet_at_the_limit(size):
     rng = random.Random(size)
