@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +52,34 @@ def test_scan_finds_every_run(text, item):
     assert found == bool(brute([(0, text)], [(1, item)], 8))
 
 
+def longest(text, item):
+    """Length of the longest common substring."""
+    best, row = 0, [0] * (len(item) + 1)
+    for c in text:
+        row = [0] + [row[j] + 1 if c == item[j] else 0 for j in range(len(item))]
+        best = max(best, *row)
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab", max_size=90), st.text(alphabet="ab", max_size=90))
+def test_the_run_is_the_longest(text, item):
+    automaton, texts = L.build_automaton([(1, item)], 8)
+    found = L.scan_text(text, automaton, texts, 8) if automaton else {}
+    n = longest(text, item)
+    assert [b - a for a, b in found.values()] == ([n] if n >= 8 else [])
+    assert all(text[a:b] in item for a, b in found.values())
+
+
+def test_repeated_text_takes_linear_time():
+    for item, run in (("a" * 4000, 4000), ("a" * 4000 + "b", 4000), ("ab" * 2000, 40_000)):
+        text = "a" * 100_000 if "ab" != item[:2] else "ab" * 50_000
+        automaton, texts = L.build_automaton([(1, item)], 40)
+        began = time.process_time()
+        (found,) = L.scan_text(text, automaton, texts, 40).values()
+        assert found[1] - found[0] == min(run, len(item)) and time.process_time() - began < 10
+
+
 def test_no_items_and_long_text(spark):
     docs = spark.createDataFrame([(1, "长" * 300_000)], DOCS)
     assert L.leaks(docs, spark.createDataFrame([], ITEMS)).count() == 0
