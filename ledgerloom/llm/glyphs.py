@@ -3,11 +3,15 @@
 Method: script-aware repair.  Every token of a suspicious value is given its
 dominant script; look-alike letters are substituted only in tokens that mix
 scripts, and only if the result is a word of the corpus.  Full-width letters,
-combining marks, invisible characters, foreign spaces and stand-ins for Han
-characters are rewritten directly.
+invisible characters, foreign spaces and stand-ins for Han characters are
+rewritten directly, and letters and marks of every script are composed.
+
+A value is disguised if the repair finds something of these in it.  A mixed token
+whose readings are no corpus words stays as it is, and its value is still disguised.
+Composing marks of other scripts than Latin gives the one form, but is no disguise.
 
 Defined results: null and empty texts are no cases and pass unchanged; a value
-of any length is read whole; repeated rows give one row.
+of any length is read whole; a null key is a key like others; repeated rows give one row.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import broadcast_if_small, materialize
+
 # Greek and Cyrillic letters and the Latin letters they look like.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
@@ -80,6 +86,11 @@ SUSPICIOUS = (
     rf"|{FOREIGN_JAVA}\p{{IsLatin}}|\p{{IsLatin}}{FOREIGN_JAVA}"
 )
 
+#: Values that composing may change: marks but those of Thai, conjoining Hangul, letters with a canonical twin.
+COMPOSABLE = r"[\p{M}&&[^\x{E31}-\x{E4E}]]|[\x{1100}-\x{11FF}]|[\x{2126}\x{212A}\x{212B}]"
+#: Readings, and substitutions, that are broadcast; more are joined by shuffle.
+MOST_READINGS = 500_000
+
 _MIXED = regex.compile(r"[\p{Greek}\p{Cyrillic}&&\p{L}]\p{Latin}|\p{Latin}[\p{Greek}\p{Cyrillic}&&\p{L}]", regex.V1)
 _LATIN_RUN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}&&\p{L}][\p{Latin}\p{Greek}\p{Cyrillic}\p{M}]*", regex.V1)
 _SPACE = regex.compile(r"[\p{Z}\x0b\f\r\x1c-\x1f\x85--[ ]]", regex.V1)
@@ -95,7 +106,7 @@ def suspicious(text: Column) -> Column:
 
 
 def direct_repair(text: str) -> tuple[str, list[str]]:
-    """The text with every disguise that needs no vocabulary undone, and the kinds found."""
+    """The text with every disguise that needs no vocabulary undone, composed, and the kinds found."""
     kinds = []
     for kind, pattern, to in (
         ("invisible", _CF, ""),
@@ -107,7 +118,7 @@ def direct_repair(text: str) -> tuple[str, list[str]]:
         text, n = pattern.subn(to, text)
         if n:
             kinds.append(kind)
-    return text, kinds
+    return unicodedata.normalize("NFC", text), kinds
 
 
 def dominant_script(token: str) -> str:
@@ -156,15 +167,18 @@ def _repair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scan(values: DataFrame) -> DataFrame:
-    """values(field_name, row_key, text) -> the disguised ones, directly repaired, with the
-    kinds of disguise and the tokens that mix scripts."""
-    return values.select("field_name", "row_key", "text").filter(suspicious(F.col("text"))).mapInPandas(_repair_batches, _REPAIRED)
+    """values(field_name, row_key, text) -> those that the repair may change, directly repaired,
+    with the kinds of disguise and the tokens that mix scripts."""
+    odd = suspicious(F.col("text")) | F.col("text").rlike(COMPOSABLE)
+    return values.select("field_name", "row_key", "text").filter(odd).mapInPandas(_repair_batches, _REPAIRED)
+
 
+_WORD = r"(?<![{all}\p{{M}}])(?:[\p{{IsLatin}}]{{2,}}|[\p{{IsGreek}}]{{2,}}|[\p{{IsCyrillic}}]{{2,}})(?![{all}\p{{M}}])".format(all=r"\p{IsLatin}\p{IsGreek}\p{IsCyrillic}")
 
-def vocabulary(values: DataFrame) -> DataFrame:
-    """Words of one script in the corpus: word, count.  Counted before the shuffle."""
-    words = F.regexp_extract_all("text", F.lit(r"([\p{IsLatin}]{2,}|[\p{IsGreek}]{2,}|[\p{IsCyrillic}]{2,})"), F.lit(1))
-    return values.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+def corpus_words(values: DataFrame) -> DataFrame:
+    """word: the whole words of one script in the values, once per place."""
+    return values.select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -173,41 +187,56 @@ def _readings(tokens: pd.Series) -> pd.Series:
 
 
 def substitutions(scanned: DataFrame, values: DataFrame) -> DataFrame:
-    """token, reading: for each mixed token the first reading that is a corpus word."""
+    """token, reading: for each mixed token the first reading that is a corpus word.
+
+    The corpus is cut to the words that are readings before anything is shuffled.
+    """
     tokens = scanned.select(F.explode("mixed").alias("token")).distinct()
-    readings = tokens.select("token", F.posexplode(_readings("token")).alias("rank", "word"))
-    return (
-        readings.join(vocabulary(values), "word")
-        .groupBy("token").agg(F.min_by("word", "rank").alias("reading"))
+    readings = materialize(tokens.select("token", F.posexplode(_readings("token")).alias("rank", "word")))
+    wanted = broadcast_if_small(readings.select("word").distinct(), MOST_READINGS)
+    known = corpus_words(values).join(wanted, "word", "left_semi").distinct()
+    return readings.join(known, "word").groupBy("token").agg(F.min_by("word", "rank").alias("reading"))
+
+
+@F.pandas_udf(T.StringType())
+def _substituted(texts: pd.Series, tokens: pd.Series, readings: pd.Series) -> pd.Series:
+    swap = lambda text, table: _LATIN_RUN.sub(lambda m: table.get(m[0], m[0]), text)
+    return pd.Series([swap(t, dict(zip(a, b))) for t, a, b in zip(texts, tokens, readings)], dtype=object)
+
+
+def repaired(values: DataFrame) -> DataFrame:
+    """field_name, row_key, text, disguised of the values that the repair looked into; values(field_name, row_key, text).
+
+    Whole tokens are replaced, so that a longer token that holds another stays as it is.
+    """
+    scanned = materialize(scan(values).distinct())
+    row = ["field_name", "row_key", "text", "kinds"]
+    direct = scanned.filter(F.size("mixed") == 0).select(*row)
+    swaps = broadcast_if_small(materialize(substitutions(scanned, values)), MOST_READINGS)
+    mixed = (
+        scanned.filter(F.size("mixed") > 0).select(*row, F.explode("mixed").alias("token"))
+        .join(swaps, "token", "left")
+        .groupBy(*row).agg(F.collect_list(F.when(F.col("reading").isNotNull(), F.struct("token", "reading"))).alias("swaps"))
+        .withColumn("text", _substituted("text", F.col("swaps.token"), F.col("swaps.reading")))
+        .select(*row)
     )
+    return direct.unionByName(mixed).select("field_name", "row_key", "text", (F.size("kinds") > 0).alias("disguised"))
 
 
 def normalise(values: DataFrame) -> DataFrame:
     """All values in one form: field_name, row_key, text, disguised.
 
-    Values without a disguise pass unchanged; of a disguised one the direct repairs
-    are applied, and each mixed token is replaced where the corpus has the reading.
+    Values without a disguise pass unchanged but for composed marks; of a disguised one the
+    direct repairs are applied, and each mixed token is replaced where the corpus has the reading.
     """
     values = values.select("field_name", "row_key", "text")
-    scanned = scan(values)
-    swaps = (
-        scanned.select("field_name", "row_key", F.explode("mixed").alias("token"))
-        .join(substitutions(scanned, values), "token")
-        .groupBy("field_name", "row_key")
-        .agg(F.sort_array(F.collect_set(F.struct(F.length("token").alias("len"), "token", "reading")), asc=False).alias("swaps"))
-    )
-    repaired = scanned.join(swaps, ["field_name", "row_key"], "left").select(
-        "field_name", "row_key",
-        F.aggregate(F.coalesce("swaps", F.array().cast("array<struct<len:int,token:string,reading:string>>")), F.col("text"), lambda t, s: F.replace(t, s["token"], s["reading"])).alias("text"),
-        F.lit(True).alias("disguised"),
-    )
-    plain = values.filter(~suspicious(F.col("text"))).withColumn("disguised", F.lit(False))
-    return repaired.unionByName(plain).distinct()
+    plain = values.filter(~suspicious(F.col("text")) & ~F.coalesce(F.col("text").rlike(COMPOSABLE), F.lit(False)))
+    return repaired(values).unionByName(plain.withColumn("disguised", F.lit(False))).distinct()
 
 
 def find_disguised(values: DataFrame) -> DataFrame:
     """field_name, row_key of every value that the repair finds disguised."""
-    return scan(values).filter(F.size("kinds") > 0).select("field_name", "row_key").distinct()
+    return repaired(values).filter("disguised").select("field_name", "row_key").distinct()
 
 
 def stored_values(blocks: DataFrame, chunks: DataFrame) -> DataFrame:

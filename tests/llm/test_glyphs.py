@@ -43,6 +43,43 @@ def test_normalise_uses_the_vocabulary(spark):
     }
 
 
+def test_whole_tokens_and_whole_words(spark):
+    rows = [("f", "1", "see Аpp and xАppy here"), ("f", "2", "App"), ("f", "3", "pyxАp"), ("f", None, "НBM"), ("f", None, "HBM"), ("f", "4", "BM only")]
+    got = {(r["row_key"], r["text"]) for r in glyphs.normalise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # Ap of pyxАp is no word of its own; xАppy isn't touched by the reading of Аpp; a null key keeps its substitution
+    assert got == {("1", "see App and xАppy here"), ("2", "App"), ("3", "pyxАp"), (None, "HBM"), ("4", "BM only")}
+
+
+def test_marks_of_every_script_are_composed(spark):
+    values = ["か\u3099く", "и\u0306", "각".encode("utf-8").decode(), "\u1100\u1161\u11a8", "e\u0301", "ἀ", "α\u0313", "กำ", "\u212b"]
+    rows = [("f", str(i), v) for i, v in enumerate(values)]
+    got = {int(r["row_key"]): r["text"] for r in glyphs.normalise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(len(values))] == [unicodedata.normalize("NFC", v) for v in values]
+    found = {r["row_key"] for r in glyphs.find_disguised(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {str(i) for i, v in enumerate(values) if case(v)} == {"4"}
+
+
+def test_normalise_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    words = ["HBM", "CXL", "Вектор", "Ωμέγα", "App", "xAppy", "ROE"]
+    back = {latin: foreign for foreign, latin in glyphs.LOOKALIKES.items() if "CYRILLIC" in unicodedata.name(foreign)}
+    rows = []
+    for i in range(300):
+        picked = [rng.choice(words[: 5 + i % 3]) for _ in range(3)]
+        picked = ["".join(back.get(c, c) if rng.random() < 0.15 else c for c in w) for w in picked]
+        rows.append((f"f{i % 2}", f"k{i}", rng.choice([" ", "　", "、"]).join(picked)))
+    vocabulary = {w for _, _, t in rows for w in glyphs._LATIN_RUN.findall(t) if len(w) > 1 and len({unicodedata.name(c).split()[0] for c in w}) == 1}
+
+    def fix(token):
+        return next((r for r in glyphs.proposals(token) if r in vocabulary), token) if glyphs._MIXED.search(token) else token
+
+    want = {(f, k): glyphs._LATIN_RUN.sub(lambda m: fix(m[0]), glyphs.direct_repair(t)[0]) for f, k, t in rows}
+    got = {(r["field_name"], r["row_key"]): r["text"] for r in glyphs.normalise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want and sum(want[f, k] != t for f, k, t in rows) > 50
+
+
 @pytest.mark.parametrize("token,script", [("СXL", "LATIN"), ("ВектоP", "CYRILLIC"), ("Ωx", "LATIN")])
 def test_dominant_script(token, script):
     assert glyphs.dominant_script(token) == script
