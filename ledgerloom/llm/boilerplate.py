@@ -157,8 +157,9 @@ def repeated_blocks(sequences: DataFrame, min_docs: int = 5, min_share: float =
     )
 
 
-def document_prefixes(versions: list, starts: list[tuple[int, int]], least: int, most: int) -> Iterator[tuple[int, int, int, str]]:
-    """(version, start, lines, MD5 of the line identifiers) of the blocks of least to most lines that begin at the starts."""
+def document_prefixes(versions: list, starts: list[tuple[int, int]], least: int, most: int) -> Iterator[tuple[int, int, int, str, str | None, str | None]]:
+    """(version, start, lines, MD5 of the line identifiers, MD5 without the last line, without the first) of the blocks of
+    least to most lines that begin at the starts; the last two are null for blocks of `least` lines."""
     packed = [np.asarray(ids, dtype=">i8") for ids in versions]
     gaps = [np.append(np.flatnonzero(ids == 0), len(ids)) for ids in packed]
     held = [ids.tobytes() for ids in packed]
@@ -167,20 +168,26 @@ def document_prefixes(versions: list, starts: list[tuple[int, int]], least: int,
         if end - i < least:
             continue
         digest = hashlib.md5(held[v][8 * i : 8 * (i + least)])
-        yield v, i, least, digest.hexdigest()
+        now = digest.hexdigest()
+        yield v, i, least, now, None, None
         for stop in range(i + least + 1, min(end, i + most) + 1):
+            before = now
             digest.update(held[v][8 * (stop - 1) : 8 * stop])
-            yield v, i, stop - i, digest.hexdigest()
+            now = digest.hexdigest()
+            yield v, i, stop - i, now, before, hashlib.md5(held[v][8 * (i + 1) : 8 * stop]).hexdigest()
 
 
 def blocks_of_any_length(sequences: DataFrame, min_docs: int = 5, min_share: float = 0.02, max_block: int = MAX_BLOCK) -> DataFrame:
-    """source, block (MD5 of its line identifiers), lines, docs: as repeated_blocks, without a longest block.
+    """source, block (MD5 of its line identifiers), lines, docs, head, tail (the block without its last and first line):
+    as repeated_blocks, without a longest block.
 
     A block is in no more documents than its own beginning, so only the places where a
     block of n lines is repeated are looked at for n + 1 to 2n lines.
     """
     totals = materialize(sequences.groupBy("source").agg(F.count("*").alias("total")))
-    found = [materialize(repeated_blocks(sequences, min_docs, min_share, max_block).withColumn("block", F.md5("block")))]
+    inner = lambda start: F.when(F.col("lines") > 1, F.md5(F.substring("block", start, 8 * (max_block - 1)) if start > 1 else F.expr("substring(block, 1, 8 * (lines - 1))")))
+    short = repeated_blocks(sequences, min_docs, min_share, max_block).withColumns({"head": inner(1), "tail": inner(9)}).withColumn("block", F.md5("block"))
+    found = [materialize(short.select("source", "block", "lines", "docs", "head", "tail"))]
     docs, n = None, max_block
     while found[-1].filter(F.col("lines") == n).limit(1).count():
 
@@ -189,7 +196,7 @@ def blocks_of_any_length(sequences: DataFrame, min_docs: int = 5, min_share: flo
                 rows = []
                 for source, key, versions, *starts in pdf.itertuples(index=False):
                     places = [(v, i) for v, ids in enumerate(versions) for i, x in enumerate(ids) if x] if first else [(p["v"], p["i"]) for p in starts[0]]
-                    rows += [(source, key, v, i, d) for v, i, lines, d in document_prefixes(versions, places, n, n + 1) if lines == n]
+                    rows += [(source, key, v, i, d) for v, i, lines, d, *_ in document_prefixes(versions, places, n, n + 1) if lines == n]
                 yield pd.DataFrame(rows, columns=["source", "key", "v", "i", "block"])
 
         def longer(batches: Iterator[pd.DataFrame], n: int = n) -> Iterator[pd.DataFrame]:
@@ -197,16 +204,16 @@ def blocks_of_any_length(sequences: DataFrame, min_docs: int = 5, min_share: flo
                 rows = []
                 for source, versions, starts in zip(pdf["source"], pdf["versions"], pdf["starts"]):
                     places = [(p["v"], p["i"]) for p in starts]
-                    rows += [(source, *b) for b in {(lines, d) for _, _, lines, d in document_prefixes(versions, places, n + 1, 2 * n)}]
-                yield pd.DataFrame(rows, columns=["source", "lines", "block"])
+                    rows += [(source, *b) for b in {(lines, *d) for _, _, lines, *d in document_prefixes(versions, places, n, 2 * n) if lines > n}]
+                yield pd.DataFrame(rows, columns=["source", "lines", "block", "head", "tail"])
 
         repeated = broadcast_if_small(found[-1].filter(F.col("lines") == n).select("source", "block"), BROADCAST_BLOCKS)
         places = (sequences if docs is None else docs).mapInPandas(beginnings, "source string, key string, v int, i int, block string")
         starts = places.join(repeated, ["source", "block"], "left_semi").groupBy("source", "key").agg(F.collect_list(F.struct("v", "i")).alias("starts"))
         docs = materialize(sequences.join(starts, ["source", "key"]).select("source", "key", "versions", "starts"))
-        counted = docs.mapInPandas(longer, "source string, lines int, block string").groupBy("source", "block", "lines").agg(F.count("*").alias("docs"))
+        counted = docs.mapInPandas(longer, "source string, lines int, block string, head string, tail string").groupBy("source", "block", "lines", "head", "tail").agg(F.count("*").alias("docs"))
         kept = counted.filter(F.col("docs") >= min_docs).join(totals, "source").filter(F.col("docs") >= F.col("total") * F.lit(min_share))
-        found.append(materialize(kept.select("source", "block", "lines", "docs")))
+        found.append(materialize(kept.select("source", "block", "lines", "docs", "head", "tail")))
         n *= 2
     out = found[0]
     for blocks in found[1:]:
@@ -214,6 +221,36 @@ def blocks_of_any_length(sequences: DataFrame, min_docs: int = 5, min_share: flo
     return out
 
 
+def maximal_blocks(sequences: DataFrame, min_docs: int = 5, min_share: float = 0.02) -> DataFrame:
+    """source, block, lines, docs of the repeated blocks that aren't part of a longer one in just as many documents."""
+    found = blocks_of_any_length(sequences, min_docs, min_share)
+    longer = found.filter("lines > 1").select("source", "docs", F.explode(F.array("head", "tail")).alias("block")).distinct()
+    return found.join(longer, ["source", "block", "docs"], "left_anti").select("source", "block", "lines", "docs")
+
+
+def lines_of_blocks(ids: list[int], blocks: set[bytes], longest: int) -> set[int]:
+    """The line numbers that the longest blocks beginning at each line cover."""
+    packed = np.asarray(ids, dtype=">i8").tobytes()
+    covered: set[int] = set()
+    for i, x in enumerate(ids):
+        n = 0
+        while x and n < longest and i + n < len(ids) and packed[8 * i : 8 * (i + n + 1)] in blocks:
+            n += 1
+        covered.update(range(i, i + n))
+    return covered
+
+
+def _shared_blocks(sequences: DataFrame, min_docs: int, min_share: float, max_block: int):
+    """(broadcast of source -> blocks, or null if there are too many; the blocks)."""
+    blocks = materialize(repeated_blocks(sequences, min_docs, min_share, max_block))
+    if blocks.count() > BROADCAST_BLOCKS:
+        return None, blocks
+    held: dict[str, set[bytes]] = {}
+    for r in blocks.select("source", "block").collect():
+        held.setdefault(r["source"], set()).add(bytes(r["block"]))
+    return sequences.sparkSession.sparkContext.broadcast(held), blocks
+
+
 def _lines_of(sequences: DataFrame) -> DataFrame:
     """source, key, line_no, id (as bytes) of every counting line."""
     version = sequences.select("source", "key", F.explode("versions").alias("ids"))
@@ -222,23 +259,59 @@ def _lines_of(sequences: DataFrame) -> DataFrame:
     )
 
 
+def _lines_by_join(sequences: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The lines of more blocks than can be broadcast: every line of a repeated block is itself one of one line."""
+    heads = blocks.filter("lines = 1").select("source", F.conv(F.hex("block"), 16, 10).cast("bigint").alias("id"))
+    return _lines_of(sequences).join(heads, ["source", "id"], "left_semi").select("source", "key", "line_no").distinct()
+
+
 def boilerplate_lines(docs: DataFrame, min_chars: int = 12, min_docs: int = 5, min_share: float = 0.02, max_block: int = MAX_BLOCK) -> DataFrame:
     """source, key, line_no of every line that belongs to a block repeated across the source's documents.
 
-    docs(source, key, text).  Every line of a repeated block is one itself, as a block of
-    one line; so the blocks of one line cover all others.
+    docs(source, key, text).  A line of a longer block than max_block is in a shorter one too.
     """
     sequences = materialize(line_sequences(docs, min_chars))
-    blocks = materialize(repeated_blocks(sequences, min_docs, min_share, max_block))
-    heads = blocks.filter("lines = 1").select("source", F.conv(F.hex("block"), 16, 10).cast("bigint").alias("id"))
-    if heads.count() <= BROADCAST_BLOCKS:
-        heads = F.broadcast(heads)
-    return _lines_of(sequences).join(heads, ["source", "id"], "left_semi").select("source", "key", "line_no").distinct()
+    shared, blocks = _shared_blocks(sequences, min_docs, min_share, max_block)
+    if shared is None:
+        return _lines_by_join(sequences, blocks)
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for source, key, versions in zip(pdf["source"], pdf["key"], pdf["versions"]):
+                held = shared.value.get(source)
+                if held:
+                    rows += [(source, key, i) for i in set().union(*(lines_of_blocks(list(ids), held, max_block) for ids in versions))]
+            yield pd.DataFrame(rows, columns=["source", "key", "line_no"])
+
+    return sequences.mapInPandas(mark, "source string, key string, line_no int")
+
+
+def without_boilerplate(docs: DataFrame, min_chars: int = 12, min_docs: int = 5, min_share: float = 0.02, max_block: int = MAX_BLOCK) -> DataFrame:
+    """source, key, text (without the repeated lines), removed (how many); repeated rows give one row.
+
+    The texts are cleaned where they are read; only with more blocks than can be broadcast are they joined with their lines.
+    """
+    sequences = materialize(line_sequences(docs, min_chars))
+    shared, blocks = _shared_blocks(sequences, min_docs, min_share, max_block)
+    if shared is None:
+        return _cleaned_by_join(docs, _lines_by_join(sequences, blocks))
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts, removed = [], []
+            for source, key, text in zip(pdf["source"], pdf["key"], pdf["text"]):
+                held = shared.value.get(source) if text and key is not None else None
+                drop = lines_of_blocks(line_ids(text, min_chars), held, max_block) if held else ()
+                texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text)
+                removed.append(len(drop))
+            yield pdf[["source", "key"]].assign(text=texts, removed=removed)
+
+    return docs.select("source", "key", "text").mapInPandas(clean, "source string, key string, text string, removed int").distinct()
 
 
-def without_boilerplate(docs: DataFrame, **limits) -> DataFrame:
-    """source, key, text (without the repeated lines), removed (how many); repeated rows give one row."""
-    dropped = boilerplate_lines(docs, **limits).groupBy("source", "key").agg(F.collect_set("line_no").alias("drop"))
+def _cleaned_by_join(docs: DataFrame, found: DataFrame) -> DataFrame:
+    dropped = found.groupBy("source", "key").agg(F.collect_set("line_no").alias("drop"))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains("drop", i))
     return (

@@ -40,9 +40,9 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The repeated blocks of one or more lines, by a digest of their line identifiers."""
+    """The maximal repeated blocks of one or more lines, by a digest of their line identifiers."""
     sequences = boilerplate.line_sequences(boilerplate.text_chunks(table(spark, d, "chunks")), 12)
-    blocks = boilerplate.blocks_of_any_length(materialize(sequences))
+    blocks = boilerplate.maximal_blocks(materialize(sequences))
     return blocks.select(F.col("source").alias("company"), "block", "lines", "docs")
 
 

@@ -83,7 +83,21 @@ def test_a_query_has_the_whole_long_block(spark, tmp_path):
     rows = [("c", "text", f"k{i}", text) for i in range(6)]
     spark.createDataFrame(rows, "company string, type string, chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
     got = p3_blocks(spark, str(tmp_path)).collect()
-    assert len(got) == 210 and max(r["lines"] for r in got) == 20 and {r["docs"] for r in got} == {6}
+    assert [(r["lines"], r["docs"]) for r in got] == [(20, 6)]
+
+
+def test_maximal_blocks_are_not_part_of_others(spark):
+    line = lambda i: f"这是重复出现的很长声明里的一行文字{chr(0x4E00 + i)}"
+    rows = [("s", f"k{i}", "\n".join(map(line, range(12)))) for i in range(6)] + [("s", f"m{i}", "\n".join(map(line, range(3, 9)))) for i in range(5)]
+    got = {(r["lines"], r["docs"]) for r in B.maximal_blocks(B.line_sequences(spark.createDataFrame(rows, SCHEMA), 12)).collect()}
+    assert got == {(12, 6), (6, 11)}
+
+
+def test_a_join_gives_the_same_as_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(5, 150), SCHEMA)
+    want = [set(map(tuple, df.collect())) for df in (B.boilerplate_lines(docs), B.without_boilerplate(docs))]
+    monkeypatch.setattr(B, "BROADCAST_BLOCKS", 0)
+    assert want == [set(map(tuple, df.collect())) for df in (B.boilerplate_lines(docs), B.without_boilerplate(docs))] and want[0]
 
 
 def test_groups_cut_by_partition_borders_add_up():
