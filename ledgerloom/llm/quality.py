@@ -2,10 +2,13 @@
 
 Method: tables and lists show in the layout: delimiters that line up from line to line,
 markers and indents that repeat, line lengths that resemble their neighbours'
-(autocorrelation).  Each line gets a kind (prose, list, table, junk) by its own marks and
-figures; delimiters that align over neighbouring lines make rows of what else would be
-entries or prose, unless a repeated marker shows two-part entries of a list.  The kinds
-are weighed by their characters.  The autocorrelation and the ratios are figures only.
+(autocorrelation).  Lines that end like sentences and lines of odd symbols are settled by
+their own ratios of words, symbols and punctuation.  The runs of lines between them are
+settled by the layout: delimiters that align over neighbouring lines make rows of a table,
+unless a repeated marker shows two-part entries of a list; lengths and figures that repeat
+every few lines make the records of a table with one cell per line; other short lines are
+the entries of a list if enough of them stand together or share a marker.  The kinds are
+weighed by their characters.
 
 Defined results: null and blank texts have zero counts, null ratios and kind null; texts
 are read whole; repeated rows give one row.
@@ -31,6 +34,8 @@ CONTRADICTION = 0.6
 ENTRY_CHARS, LIST_ENTRIES = 48, 3
 #: Lines without figures are rows if at least so many in a row have aligned cells.
 ALIGNED_ROWS = 3
+#: Lines of a record with one cell per line, at most; as many records show a table; least autocorrelation at that lag.
+MOST_CELLS, RECORDS, PERIODIC = 8, 3, 0.3
 
 # Frequent words of running text; parts of characters that don't occur as words; Windows-1252 characters of wrongly decoded bytes.
 COMMON_WORDS = {
@@ -212,7 +217,7 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
             i = j
         else:
             i = max(i + 1, j - 1)
-    # entries make a list if enough of them stand in a row, or if they share a marker
+    # entries are the cells of records, or make a list if enough of them stand in a row, or if they share a marker
     i = 0
     while i < len(kinds):
         if kinds[i] != "entry":
@@ -221,10 +226,8 @@ def line_kinds(text: str) -> list[tuple[str, int]]:
         j = i
         while j < len(kinds) and kinds[j] == "entry":
             j += 1
-        marked = sum(bool(_MARKER.match(lines[k])) for k in range(i, j))
-        listed = j - i >= LIST_ENTRIES or marked >= 2
-        for k in range(i, j):
-            kinds[k] = "list" if listed else "prose"
+        listed = j - i >= LIST_ENTRIES or marker_periodicity(lines[i:j]) * (j - i) >= 2
+        kinds[i:j] = ["table" if listed and record_length(lines[i:j]) else "list" if listed else "prose"] * (j - i)
         i = j
     return [(kind, len("".join(line.split()))) for kind, line in zip(kinds, lines)]
 
@@ -252,13 +255,28 @@ def marker_periodicity(lines: list[str]) -> float:
     return max(heads.values()) / len(lines) if heads else 0.0
 
 
-def length_autocorrelation(lines: list[str]) -> float:
-    """Autocorrelation of the line lengths at lag one; 1 for equal lengths, 0 for fewer than three lines."""
-    if len(lines) < 3:
+def length_autocorrelation(lines: list[str], lag: int = 1) -> float:
+    """Autocorrelation of the line lengths at a lag; 1 for equal lengths, 0 for fewer than lag + 2 lines."""
+    if len(lines) < lag + 2:
         return 0.0
     x = np.array([len(line) for line in lines], dtype=float)
     x -= x.mean()
-    return float((x[1:] * x[:-1]).sum() / (x * x).sum()) if (x * x).sum() else 1.0
+    return float((x[lag:] * x[:-lag]).sum() / (x * x).sum()) if (x * x).sum() else 1.0
+
+
+def record_length(lines: list[str]) -> int:
+    """The number of lines after which a record of cells begins anew, each cell on its own line; 0 if there are no records.
+
+    Cells of figures stand at the same places of every record, others at the rest, and the
+    lengths correlate at that lag (records of equal lengths throughout do so trivially).
+    """
+    figures = [bool(_NUMERIC_CELL.match(line.strip())) for line in lines]
+    if not any(figures) or all(figures):
+        return 0
+    for lag in range(2, min(MOST_CELLS, len(lines) // RECORDS) + 1):
+        if all(a == b for a, b in zip(figures, figures[lag:])) and length_autocorrelation(lines, lag) >= PERIODIC * (1 - lag / len(lines)):
+            return lag
+    return 0
 
 
 _COMMON = {w for words in COMMON_WORDS.values() for w in words.split()}

@@ -53,6 +53,25 @@ def test_lists_and_wrapped_prose_are_no_aligned_tables(text, kind):
     assert Q.contradiction("text", text) == kind
 
 
+RECORDS = "\n".join(f"{label}\n{a}\n{b}" for label, a, b in (("营业收入", "12,345.60", "8.1%"), ("净利润", "2,310.07", "-3.2%"), ("研发支出", "1,871.50", "11.4%"), ("存货余额", "9,002.33", "0.7%")))
+
+
+def test_one_cell_per_line_is_a_table():
+    assert Q.record_length(RECORDS.split("\n")) == 3
+    assert Q.contradiction("text", RECORDS) == "table" and Q.contradiction("table", RECORDS) is None
+    assert Q.contradiction("text", "\n".join(f"低功耗{x}" for x in ("夹具", "驱动程序包", "时钟芯片", "机柜", "天线模组", "设计外包"))) == "list"
+    assert Q.record_length(["甲", "1", "乙", "丙", "2", "丁"]) == 0 and Q.record_length(["1", "2", "3"] * 3) == 0
+
+
+@pytest.mark.parametrize("measure", ["aligned", "marker_periodicity", "record_length", "length_autocorrelation"])
+def test_every_layout_measure_decides(monkeypatch, measure):
+    texts = [RECORDS, "\n".join("  ".join(row) for row in ROWS), "\n".join(f"{i}. {a} / {b}" for i, (a, b, _) in enumerate(ROWS, 1))]
+    before = [Q.contradiction("text", t) for t in texts]
+    nothing = {"aligned": lambda a, b: frozenset(), "marker_periodicity": lambda x: 0.0, "record_length": lambda x: 0, "length_autocorrelation": lambda x, lag=1: -1.0}
+    monkeypatch.setattr(Q, measure, nothing[measure])
+    assert before == ["table", "table", "list"] != [Q.contradiction("text", t) for t in texts]
+
+
 def test_a_glance_never_changes_the_answer():
     for type_ in ("text", "table"):
         for text in (PROSE, LIST, TABLE, PROSE + "\n" + LIST, TABLE + "\n" + PROSE):
