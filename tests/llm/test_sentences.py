@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from ledgerloom.llm import sentences as S
@@ -32,6 +34,37 @@ def test_rules(text, count):
     assert len(split(text)) == count, split(text)
 
 
+@pytest.mark.parametrize(
+    "text,count",
+    [
+        ("Le chiffre d'affaires est de 3 M€ env. par an, selon M. Durand et Mme. Roy. Les ventes de la société Dupont S.A. sont en hausse. Une note suit.", 3),
+        ("El Sr. Gómez y la Dra. Ruiz dijeron que las ventas, p. ej. de chips, subieron. Los costes etc. bajaron por la demanda.", 2),
+        ("Il Sig. Rossi e il Dott. Bianchi sono della società Alfa S.p.A. Gli ordini sono in crescita, ecc. per il mercato.", 2),
+        ("O Sr. Silva e a Dra. Costa não foram ao evento. Os custos, p. ex. da obra, são da empresa Beta Ltda. Uma nota segue.", 3),
+        ("Выручка в 2020 г. выросла, т. е. на 5 % за год. По данным на стр. 12 это рекорд для компании.", 2),
+        ("Die Kosten betragen rund 5 Mio. Die Erlöse und der Umsatz stiegen auf 3 Mrd. Euro für das Jahr.", 2),
+        ("The report came in Oct. The board met on Nov. 5 to vote.", 2),
+        ("بلغت الإيرادات ٥ ملايين؟ نعم. ارتفعت.", 3), ("राजस्व बढ़ा। लागत घटी।", 2),
+        ("He joined Foo Inc." + " " * 45 + "The next one.", 2), ("He joined Foo Inc. The next one.", 2),
+    ],
+)
+def test_further_languages(text, count):
+    assert len(split(text)) == count, split(text)
+
+
+def test_many_marks_take_linear_time():
+    for text in ("(" * 100_000, "（甲。" * 30_000, "“甲。”乙" * 30_000, "a.b" * 30_000, "((“" * 30_000 + "”))" * 10_000, "甲。[1]" * 30_000):
+        began = time.process_time()
+        S.sentence_ends(text)
+        assert time.process_time() - began < 8, text[:9]
+
+
+def test_more_stops_than_a_few_inside():
+    quote = "“" + "甲乙。" * 12 + "”"
+    assert len(split(f"他说：{quote}后来更正。")) == 2 and len(split(f"他的{quote}后来更正。")) == 1
+    assert len(split(f"他说：“{'甲乙' * 12}”后来更正。" + "丙。" * 9)) == 10
+
+
 def test_ends_are_after_the_last_character():
     text = "  第一句。 \n\n 第二句 \n"
     assert S.sentence_ends(text) == [6, 13] and text[5] == "。" and text[12] == "句"
