@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.session import buckets_for
+
 CAPACITY = 2048
 #: Unused space that a combination may leave.
 WINDOW = 4
@@ -32,7 +34,8 @@ WINDOW = 4
 DEPTH = 4
 #: Combinations given to the solver.
 MAX_COMBINATIONS = 12_000
-SHARDS = 64
+#: Shards of the ranking, at least, and the items of a shard beyond that: a length that a third of all items share is spread over them.
+SHARDS, SHARD_ITEMS = 64, 500_000
 
 
 def combinations(lengths: list[int], counts: dict[int, int], capacity: int = CAPACITY, window: int = WINDOW, depth: int = DEPTH, most: int = MAX_COMBINATIONS) -> list[tuple[int, ...]]:
@@ -175,9 +178,10 @@ def pieces(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.select("key", "piece", F.least(F.col("total") - F.col("piece") * capacity, F.lit(capacity)).cast("int").alias("size"))
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, depth: int = DEPTH, shards: int = SHARDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, depth: int = DEPTH, shards: int | None = None) -> DataFrame:
     """items(key, size) -> key, piece, size, container; the sizes in a container never exceed the capacity."""
     spark = items.sparkSession
+    shards = shards or buckets_for(items.count(), SHARD_ITEMS, SHARDS)
     sharded = pieces(items, capacity).withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int"))
     # the ranking window and this join are partitioned alike, so the items are shuffled once
     counted = sharded.groupBy("size", "shard").agg(F.count("*").alias("n"))
@@ -188,15 +192,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, depth
 
     @F.pandas_udf(T.LongType())
     def container(size: pd.Series, index: pd.Series) -> pd.Series:
-        runs, out = shared.value, []
-        for s, i in zip(size, index):
-            if s <= 0:
-                out.append(0)
-                continue
-            starts, containers, each = runs[s]
-            k = bisect_right(starts, i) - 1
-            out.append(containers[k] + (i - starts[k]) // each[k])
-        return pd.Series(out, dtype="int64")
+        runs, out = shared.value, np.zeros(len(size), dtype=np.int64)
+        sizes, index = size.to_numpy(), index.to_numpy()
+        for s in np.unique(sizes[sizes > 0]):
+            at = sizes == s
+            starts, containers, each = (np.asarray(x) for x in runs[int(s)])
+            k = np.searchsorted(starts, index[at], side="right") - 1
+            out[at] = containers[k] + (index[at] - starts[k]) // each[k]
+        return pd.Series(out)
 
     rank = F.row_number().over(Window.partitionBy("size", "shard").orderBy("key", "piece")) - 1
     ranked = sharded.withColumn("rank", rank).join(offsets, ["size", "shard"])

@@ -62,15 +62,15 @@ def strengths(text: str) -> np.ndarray:
 
 
 class RangeMax:
-    """Sparse table: the rightmost position of the maximum over any range in O(1)."""
+    """Sparse table: the rightmost position of the maximum over any range of up to `widest` in O(1)."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, widest: int | None = None):
         n = len(values)
         # the position breaks ties: of equal strengths the rightmost is the maximum
         level = values.astype(np.int64) * (n + 1) + np.arange(n)
         self.n, self.levels = n, [level]
         width = 1
-        while 2 * width <= n:
+        while 2 * width <= min(n, widest or n):
             level = np.maximum(level[:-width], level[width:])
             self.levels.append(level)
             width *= 2
@@ -89,7 +89,7 @@ def split_spans(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -
     n = len(text)
     if n <= max_chars:
         return [(0, n)] if n else []
-    index = RangeMax(strengths(text))
+    index = RangeMax(strengths(text), max_chars + 1)
     spans, start, covered = [], 0, 0
     while True:
         if n - start <= max_chars:
