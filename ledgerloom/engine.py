@@ -18,11 +18,11 @@ from ledgerloom.operators import answering, dense, fusion, lexical
 from ledgerloom.session import materialize, spread
 
 K_EACH = 80
-TABLES = ("chunks", "companies", "flags", "postings", "lengths", "embeddings")
+TABLES = ("chunks", "companies", "postings", "lengths", "embeddings")
 
 
-def chunk_embeddings(chunks: DataFrame, limit: int = 100_000) -> DataFrame:
-    """key, company, embedding of every chunk, by the embedder that needs no model."""
+def chunk_embeddings(chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """key, company, embedding of every chunk, by the embedder that needs no model; a limit is for embedders that have one."""
     body = X.document_text(F.col("company"), F.col("report_label"), F.col("section"), F.col("text"), limit)
     texts = spread(chunks.select(F.col("chunk_id").alias("key"), "company", body.alias("body")), "key").dropDuplicates(["key"])
     return dense.hashed_embeddings(texts, "key", "company")
@@ -47,7 +47,6 @@ class KnowledgeBase:
         save(chunks.dropDuplicates(["chunk_id"]), "chunks")
         save(companies, "companies")
         stored = spark.read.parquet(f"{path}/chunks")
-        save(fusion.chunk_flags(stored), "flags")
         save(lexical.term_counts(stored), "postings")
         save(lexical.build_index(stored, postings=spark.read.parquet(f"{path}/postings"))["lengths"], "lengths")
         save(embed_chunks(stored), "embeddings")
@@ -61,18 +60,21 @@ class KnowledgeBase:
         return fusion.question_intent(questions, self.tables["companies"])
 
     def search(self, questions: DataFrame, k_each: int = K_EACH) -> DataFrame:
-        """Evidence for questions(qid, question, k): qid, idx, chunk_id, score and the chunk's fields."""
+        """Evidence for questions(qid, question, k): qid, idx, chunk_id, score, vec_rank, bm25_rank, vec_sim and the chunk's fields."""
         t = self.tables
-        intents, vectors = self.intents(questions), self.embed_questions(questions)
+        intents, vectors = materialize(self.intents(questions)), materialize(self.embed_questions(questions))
         index = {"postings": t["postings"], "lengths": t["lengths"], "meta": lexical.corpus_meta(t["lengths"])}
         near = dense.cosine_topk(t["embeddings"], vectors, k_each).withColumnRenamed("key", "chunk_id")
-        ranked = fusion.rank_fused(fusion.rrf(near, lexical.bm25_topk(index, questions, k_each)), intents, t["flags"])
+        fused = materialize(fusion.rrf(near, lexical.bm25_topk(index, questions, k_each)))
+        ranked = fusion.rank_fused(fused, intents, fusion.candidate_flags(t["chunks"], fused))
         plain = ranked.join(intents.filter("not panorama").select("qid"), "qid", "left_semi").select("qid", "idx", "chunk_id", "score")
         comparing = intents.filter("panorama")
         two = dense.cosine_topk(t["embeddings"], vectors.join(comparing.select("qid"), "qid", "left_semi"), 2, group="company")
         balanced = fusion.balanced(two.withColumnRenamed("key", "chunk_id"), comparing).select("qid", "idx", "chunk_id", "score")
         # k rows a question; written, as ranking and texts read them
-        return fusion.with_chunks(materialize(plain.unionByName(balanced)), t["chunks"], intents)
+        picked = materialize(plain.unionByName(balanced))
+        scored = materialize(fusion.with_similarity(picked.join(fused.select("qid", "chunk_id", "vec_rank", "bm25_rank"), ["qid", "chunk_id"], "left"), t["embeddings"], vectors))
+        return fusion.with_chunks(scored, t["chunks"], intents)
 
     def answer(self, questions: DataFrame, generator: Callable[[str], str] = answering.extractive) -> DataFrame:
         """qid, question, k, answer, evidence, citations."""

@@ -110,10 +110,11 @@ def full_url(base: str, path: Column) -> Column:
     return F.concat(F.lit(base), F.regexp_replace(F.coalesce(path, F.lit("")), "^/+", ""))
 
 
-def document_text(company: Column, label: Column, section: Column, text: Column, limit: int = 1600) -> Column:
+def document_text(company: Column, label: Column, section: Column, text: Column, limit: int | None = 1600) -> Column:
     """The text given to an embedder, headed by its origin; nulls count as empty."""
     e = lambda c: F.coalesce(c, F.lit(""))
-    return F.substring(F.concat(e(company), F.lit("《"), e(label), F.lit("》"), e(section), F.lit("\n"), e(text)), 1, limit)
+    whole = F.concat(e(company), F.lit("《"), e(label), F.lit("》"), e(section), F.lit("\n"), e(text))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def keyword_context(text: Column, word: str, before: int = 120, after: int = 220) -> Column:
@@ -131,7 +132,3 @@ def tokens(c: Column) -> Column:
     runs = F.regexp_extract_all(low, F.lit(r"(\p{IsHan}+)"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, 2))))
     return F.concat(words, pairs)
-
-
-def instruct(task: str, question: Column) -> Column:
-    return F.concat(F.lit(f"Instruct: {task}\nQuery: "), question)

@@ -8,7 +8,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The budget of a prompt, the rules that stand before it, and the answer where nothing is found.
 MAX_CHUNKS, TOTAL_CHARS, LEAST_CHARS, SNIPPET = 16, 12_000, 400, 180
+NOT_FOUND = "提供的资料中未找到相关信息"
+RULES = (
+    "你是一名严谨的金融财报问答助手。请严格依据用户提供的【资料】回答问题：\n"
+    "1. 只使用【资料】中明确出现的信息，禁止编造数字、名称或引入资料之外的知识；\n"
+    "2. 引用数字时保持与资料一致（含单位与口径），不要换算或推测；\n"
+    "3. 在每处引用的事实后标注来源编号，如 [1]、[2]（编号对应【资料】中各条目）；\n"
+    f"4. 若【资料】不足以回答，请直接说明“{NOT_FOUND}”，不要强行作答；\n"
+    "5. 涉及公司整体层面的财务数据（营收、净利润等）时，优先采用管理层讨论与分析中的表述口径（通常为合并口径）并注明；若仅有母公司口径数据，必须明确说明“（母公司口径）”；\n"
+    "6. 回答简洁：先给结论，再补充必要细节；如涉及多家公司对比，分条列出。"
+)
 
 
 def budgeted(evidence: DataFrame, max_chunks: int = MAX_CHUNKS, total: int = TOTAL_CHARS) -> DataFrame:
@@ -23,18 +34,18 @@ def budgeted(evidence: DataFrame, max_chunks: int = MAX_CHUNKS, total: int = TOT
     return shown.join(shares, "qid").select("qid", "idx", line.alias("line"))
 
 
-def prompts(evidence: DataFrame, questions: DataFrame, max_chunks: int = MAX_CHUNKS, total: int = TOTAL_CHARS) -> DataFrame:
-    """qid, question, prompt."""
+def prompts(evidence: DataFrame, questions: DataFrame, max_chunks: int = MAX_CHUNKS, total: int = TOTAL_CHARS, rules: str = RULES) -> DataFrame:
+    """qid, question, rules (the system's part) and prompt (the user's)."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "line")))
     bodies = budgeted(evidence, max_chunks, total).groupBy("qid").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n\n").alias("body"))
-    return questions.select("qid", "question").join(bodies, "qid", "left").select("qid", "question", F.concat(F.lit("【问题】"), "question", F.lit("\n\n【资料】\n"), F.coalesce("body", F.lit(""))).alias("prompt"))
+    return questions.select("qid", "question").join(bodies, "qid", "left").select("qid", "question", F.concat(F.lit("【问题】"), "question", F.lit("\n\n【资料】\n"), F.coalesce("body", F.lit(""))).alias("prompt"), F.lit(rules).alias("rules"))
 
 
 def extractive(prompt: str) -> str:
     """A generator for hosts without a model: quotes the first line of each of the first two sources."""
     parts = prompt.split("\n\n【资料】\n", 1)[-1].split("\n\n[")
     quotes = [p.split("\n")[1][:80] for p in parts[:2] if "\n" in p]
-    return "".join(f"{q} [{i}]" for i, q in enumerate(quotes, 1)) or "提供的资料中未找到相关信息"
+    return "".join(f"{q} [{i}]" for i, q in enumerate(quotes, 1)) or NOT_FOUND
 
 
 def generate(prompted: DataFrame, generator: Callable[[str], str] = extractive) -> DataFrame:

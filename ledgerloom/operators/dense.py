@@ -73,13 +73,14 @@ def cosine_topk(vectors: DataFrame, questions: DataFrame, k: int, group: str | N
                     continue
                 sims = np.round(np.array(pdf["embedding"].tolist(), dtype=np.float64) @ matrix.T, 6)
                 pdf = pdf.drop(columns="embedding")
-                for j, qid in enumerate(qids):
-                    part = pdf.assign(qid=qid, sim=sims[:, j])
-                    if group:
-                        part = part.sort_values(["sim", "key"], ascending=[False, True]).groupby(group, dropna=False).head(k)
-                    else:
-                        part = part.nlargest(k, "sim", keep="all")
-                    yield part[columns]
+                # the k best of each question and group by similarity, then key; of all questions at once
+                by_key = np.argsort(pdf["key"].to_numpy(), kind="stable")
+                for rows_at in pdf.iloc[by_key].groupby(group, dropna=False).indices.values() if group else [np.arange(len(pdf))]:
+                    at = by_key[rows_at]
+                    order = np.argsort(-sims[at], axis=0, kind="stable")[:k] if len(at) > k else np.broadcast_to(np.arange(len(at))[:, None], (len(at), len(qids)))
+                    rows = at[order].T.ravel()
+                    asked = np.repeat(np.arange(len(qids)), order.shape[0])
+                    yield pdf.iloc[rows].assign(qid=[qids[j] for j in asked], sim=sims[rows, asked])[columns]
 
         parts.append(source.mapInPandas(best, schema))
     if not parts:

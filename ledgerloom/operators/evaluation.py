@@ -38,6 +38,12 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
     )
 
 
+def keyword_report(chunks: DataFrame, word: str, limit: int = 20, company: str | None = None, report: str | None = None) -> DataFrame:
+    """The first `limit` hits by chunk_id (a report's feature), each with the true number of hits."""
+    hits = keyword_hits(chunks, word, company, report)
+    return hits.orderBy("chunk_id", "snippet").limit(limit).withColumn("hits", hits.agg(F.count("*")).scalar())
+
+
 def keyword_hits(chunks: DataFrame, word: str, company: str | None = None, report: str | None = None) -> DataFrame:
     """chunk_id, snippet of the chunks that contain the word; optional substring filters."""
     rows = chunks.filter(F.col("text").contains(word))

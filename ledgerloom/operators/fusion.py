@@ -6,25 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
+from ledgerloom.functions import vectors as V
+from ledgerloom.session import broadcast_if_small
 
 RRF_K = 60
-#: Names of mentioned entities are looked up in an array of at most this many.
-MAX_NAMES = 20_000
+#: Names, and candidate chunks, that are broadcast; more are joined by shuffle.
+MOST_NAMES, MOST_CANDIDATES = 200_000, 500_000
 
 # The boosts, in units of 1 / (RRF_K + 1).
 MENTIONED, NOT_MENTIONED, PERIOD_TYPE, EXACT_PERIOD, NARRATIVE, ATTRIBUTION = 0.30, -0.20, 0.50, 0.50, 0.20, 0.35
 
 
+def mentioned_names(questions: DataFrame, companies: DataFrame) -> DataFrame:
+    """qid, question, name of the names that a question contains: an equi join on the first two
+    characters of the names, then the whole name."""
+    names = companies.select("name").filter("name <> ''").distinct().withColumn("start", F.substring("name", 1, 2))
+    places = F.sequence(F.lit(1), F.char_length("question"))
+    # a name of one character meets the last character of a question too
+    starts = F.array_distinct(F.concat(F.transform(places, lambda i: F.substring("question", i, F.lit(2))), F.transform(places, lambda i: F.substring("question", i, F.lit(1)))))
+    asked = questions.select("qid", "question").filter("question <> ''").select("qid", "question", F.explode(starts).alias("start"))
+    met = asked.join(broadcast_if_small(names, MOST_NAMES), "start").filter(F.contains("question", "name"))
+    return met.select("qid", "question", "name").distinct()
+
+
 def question_intent(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """Adds k (0 and null are 8), mentioned (names, sorted), prefer, years, attribution, panorama."""
-    names = [r["name"] for r in companies.select("name").filter("name <> ''").distinct().orderBy("name").limit(MAX_NAMES + 1).collect()]
-    if len(names) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names; find the mentioned ones by a join on tokens")
     q = F.col("question")
-    known = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    return questions.withColumns({
+    found = mentioned_names(questions, companies).groupBy("qid", "question").agg(F.array_sort(F.collect_set("name")).alias("mentioned"))
+    return questions.join(found, ["qid", "question"], "left").withColumns({
         "k": F.coalesce(F.nullif(F.col("k"), F.lit(0)), F.lit(8)),
-        "mentioned": F.filter(known, lambda n: F.contains(q, n)),
+        "mentioned": F.coalesce("mentioned", F.array().cast("array<string>")),
         "prefer": F.when(q.rlike(X.SEMI_WORDS), "semi").otherwise("annual"),
         "years": F.array_sort(F.array_distinct(F.regexp_extract_all(q, F.lit(r"(20\d{2})"), F.lit(1)))),
         "attribution": q.rlike(X.ATTRIBUTION_WORDS),
@@ -39,6 +50,21 @@ def chunk_flags(chunks: DataFrame) -> DataFrame:
     return flags.dropDuplicates(["chunk_id"])
 
 
+def candidate_flags(chunks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The flags of the candidate chunks only, so that no other text is looked at; candidates(chunk_id, ...), written."""
+    wanted = broadcast_if_small(candidates.select("chunk_id").distinct(), MOST_CANDIDATES)
+    return chunk_flags(chunks.join(wanted, "chunk_id", "left_semi"))
+
+
+def with_similarity(ranked: DataFrame, embeddings: DataFrame, questions: DataFrame) -> DataFrame:
+    """Adds vec_sim, the similarity of question and chunk to four places, also of chunks that only the words found;
+    embeddings(key, embedding), questions(qid, embedding); null where either has no vector."""
+    wanted = broadcast_if_small(ranked.select("chunk_id").distinct(), MOST_CANDIDATES)
+    near = embeddings.select(F.col("key").alias("chunk_id"), F.col("embedding").alias("chunk_vector")).join(wanted, "chunk_id", "left_semi")
+    both = ranked.join(near, "chunk_id", "left").join(questions.select("qid", F.col("embedding").alias("question_vector")), "qid", "left")
+    return both.withColumn("vec_sim", F.round(F.round(V.dot(F.col("chunk_vector"), F.col("question_vector")), 6), 4)).drop("chunk_vector", "question_vector")
+
+
 def rrf(dense: DataFrame, lexical: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     """qid, chunk_id, fused, vec_rank, bm25_rank, vec_sim from two lists (qid, chunk_id, rank), in one shuffle."""
     both = dense.select("qid", "chunk_id", F.col("rank").alias("vec_rank"), F.lit(None).cast("int").alias("bm25_rank")).unionByName(
@@ -90,9 +116,3 @@ def with_chunks(ranked: DataFrame, chunks: DataFrame, intents: DataFrame) -> Dat
     texts = chunks.select("chunk_id", *fields).join(wanted, "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
     named = F.array_contains("mentioned", F.coalesce("company", F.lit("")))
     return ranked.join(texts, "chunk_id").join(intents.select("qid", "question", "mentioned"), "qid").withColumn("mentioned_company", named).drop("mentioned")
-
-
-def top_two_per_company(sims: DataFrame) -> DataFrame:
-    within = Window.partitionBy("qid", "company").orderBy(F.desc("sim"), "chunk_id")
-    return sims.withColumn("rank", F.row_number().over(within) - 1).filter("rank < 2")
-

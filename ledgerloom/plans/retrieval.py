@@ -105,7 +105,8 @@ def chunk_flags(spark: SparkSession, d: str) -> DataFrame:
 def _ranked(spark: SparkSession, d: str, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     questions = _questions(spark, d)
     intents = fusion.question_intent(questions, table(spark, d, "companies"))
-    return fusion.rank_fused(_fused(spark, d, questions, vectors), intents, fusion.chunk_flags(_chunks(spark, d))), intents
+    fused = materialize(_fused(spark, d, questions, vectors))
+    return fusion.rank_fused(fused, intents, fusion.candidate_flags(_chunks(spark, d), fused)), intents
 
 
 def fused_boosts(spark: SparkSession, d: str) -> DataFrame:
@@ -138,6 +139,18 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d)[0].select("qid", "idx", "chunk_id", "score", "company", "report_label", "section", "page", "type", "mentioned_company")
 
 
+def evidence_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The ranks and the similarity of every piece of evidence, also of those that only the words found."""
+    vectors = materialize(_embeddings(spark, d))
+    questions = _questions(spark, d)
+    intents = fusion.question_intent(questions, table(spark, d, "companies"))
+    fused = materialize(_fused(spark, d, questions, vectors))
+    plain = fusion.rank_fused(fused, intents, fusion.candidate_flags(_chunks(spark, d), fused)).join(intents.filter("not panorama").select("qid"), "qid", "left_semi")
+    picked = plain.select("qid", "idx", "chunk_id").unionByName(_balanced(spark, d, vectors).select("qid", "idx", "chunk_id"))
+    ranked = materialize(picked.join(fused.select("qid", "chunk_id", "vec_rank", "bm25_rank"), ["qid", "chunk_id"], "left"))
+    return fusion.with_similarity(ranked, vectors, engine.question_embeddings(questions))
+
+
 def evidence_budget(spark: SparkSession, d: str) -> DataFrame:
     return answering.budgeted(_evidence(spark, d)[0]).select("qid", "idx", F.md5("line").alias("line_md5"), F.char_length("line").alias("n"))
 
@@ -193,16 +206,21 @@ def kwic_grep(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.keyword_hits(_chunks(spark, d), "存货余额", report="年度报告")
 
 
+def kwic_report(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 hits of a word, with the number of all hits."""
+    return evaluation.keyword_report(_chunks(spark, d), "毛利", report="年度报告")
+
+
 def pending_documents(spark: SparkSession, d: str) -> DataFrame:
     """Reports of the manifest that have no blocks yet."""
     return table(spark, d, "manifest").select("doc_id").distinct().join(table(spark, d, "blocks").select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def mentioned_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the companies that a question of the query set names."""
-    intents = fusion.question_intent(_questions(spark, d), table(spark, d, "companies"))
-    named = intents.select("qid", F.explode("mentioned").alias("company"))
-    return _chunks(spark, d).select("chunk_id", "company").distinct().join(named.select("company").distinct(), "company", "left_semi").groupBy("company").agg(F.count("*").alias("n"))
+    """Chunks of the companies that any question names."""
+    asked = table(spark, d, "eval_raw").select(F.col("id").alias("qid"), "question")
+    named = fusion.mentioned_names(asked, table(spark, d, "companies")).select(F.col("name").alias("company")).distinct()
+    return _chunks(spark, d).select("chunk_id", "company").distinct().join(named, "company", "left_semi").groupBy("company").agg(F.count("*").alias("n"))
 
 
 def block_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -215,8 +233,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize, term_freq, doc_freq_idf, corpus_stats_meta, field_weighted_tokens, bm25_topk, l2_normalize, cosine_topk, hashed_embedding, dense_topk,
-        rrf_fuse, query_intent, chunk_flags, fused_boosts, panorama_balanced, hybrid_search, evidence_budget, answer_questions, parse_citations,
-        citation_join, hit_at_k_mrr, expected_documents, verdict_tally, corpus_histograms, no_section_ratio, kwic_grep, block_statistics, pending_documents, mentioned_evidence,
+        rrf_fuse, query_intent, chunk_flags, fused_boosts, panorama_balanced, hybrid_search, evidence_scores, evidence_budget, answer_questions, parse_citations,
+        citation_join, hit_at_k_mrr, expected_documents, verdict_tally, corpus_histograms, no_section_ratio, kwic_grep, kwic_report, block_statistics, pending_documents, mentioned_evidence,
     )
 }
 
@@ -251,7 +269,7 @@ def _embedded(source: str, key: str) -> str:
 
 _DOC = "coalesce(company, '') || '《' || coalesce(report_label, '') || '》' || coalesce(section, '') || chr(10) || coalesce(text, '')"
 DENSE = f"""
-    embedded AS (SELECT * FROM {_embedded(f"(SELECT DISTINCT chunk_id, substring({_DOC}, 1, 100000) AS body FROM chunks)", "chunk_id")}),
+    embedded AS (SELECT * FROM {_embedded(f"(SELECT DISTINCT chunk_id, {_DOC} AS body FROM chunks)", "chunk_id")}),
     qvectors AS (SELECT qid, embedding AS q FROM {_embedded("(SELECT qid, question AS body FROM questions)", "qid")}),
     sims AS (SELECT qid, chunk_id, round(list_dot_product(embedding, q), 6) AS sim FROM embedded, qvectors),
     dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, chunk_id) - 1 AS rank FROM sims QUALIFY rank < {K_EACH})"""
@@ -276,6 +294,7 @@ EVIDENCE = f"""{BALANCED},
     picked AS (SELECT qid, idx, chunk_id, score FROM ranked JOIN intents USING (qid) WHERE NOT panorama UNION ALL SELECT qid, idx, chunk_id, score FROM balanced),
     texts AS (SELECT DISTINCT ON (chunk_id) chunk_id, company, code, doc_id, report_label, section, page, type, text FROM chunks),
     evidence AS (SELECT p.*, t.* EXCLUDE (chunk_id), list_contains(mentioned, coalesce(company, '')) AS mentioned_company FROM picked p JOIN texts t USING (chunk_id) JOIN (SELECT qid, mentioned FROM intents) USING (qid))"""
+_LINE = "'[' || idx || '] 《' || coalesce(company, '') || '》' || coalesce(report_label, '') || '｜' || coalesce(section, '') || '｜第' || coalesce(page::VARCHAR, '') || '页' || chr(10) || substring(coalesce(text, ''), 1, greatest(400, 12000 // count(*) OVER (PARTITION BY qid))::INT)"
 _DOC_IDS = "list_distinct(regexp_extract_all(coalesce(expected_doc, ''), '(\\d{6}_\\d{4}_(?:annual|semi)(?:_\\w+)?)', 1))"
 
 ORACLE = {
@@ -295,6 +314,16 @@ ORACLE = {
     "fused_boosts": f"WITH {RANKED} SELECT qid, idx, chunk_id, score, vec_rank, bm25_rank FROM ranked",
     "panorama_balanced": f"WITH {BALANCED.replace('WHERE panorama QUALIFY', 'QUALIFY')} SELECT qid, idx, chunk_id, score FROM balanced",
     "hybrid_search": f"WITH {EVIDENCE} SELECT qid, idx, chunk_id, score, company, report_label, section, page, type, mentioned_company FROM evidence",
+    "evidence_scores": f"WITH {EVIDENCE} SELECT qid, idx, chunk_id, f.vec_rank, f.bm25_rank, round(sim, 4) AS vec_sim FROM picked LEFT JOIN fused f USING (qid, chunk_id) LEFT JOIN sims USING (qid, chunk_id)",
+    "answer_questions": f"""WITH {EVIDENCE},
+        lines AS (SELECT qid, idx, {_LINE} AS line FROM evidence WHERE idx <= 16),
+        sources AS (SELECT qid, string_split(string_agg(line, chr(10) || chr(10) ORDER BY idx), chr(10) || chr(10) || '[') AS s FROM lines GROUP BY qid),
+        quotes AS (SELECT qid, list_transform(list_filter(s[1:2], lambda p: contains(p, chr(10))), lambda p: substring(string_split(p, chr(10))[2], 1, 80)) AS q FROM sources),
+        answers AS (SELECT qid, k, coalesce(nullif(array_to_string(list_transform(q, lambda x, i: x || ' [' || i || ']'), ''), ''), '{answering.NOT_FOUND}') AS answer FROM questions LEFT JOIN quotes USING (qid)),
+        cited AS (SELECT qid, unnest(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d{{1,2}})\\]', 1), lambda x: x::INT))) AS idx FROM answers)
+        SELECT qid, k, answer, (SELECT nullif(count(*), 0) FROM evidence e WHERE e.qid = a.qid)::INT AS n_evidence, (SELECT nullif(count(*), 0) FROM cited JOIN evidence e USING (qid, idx) WHERE e.qid = a.qid)::INT AS n_citations FROM answers a""",
+    "kwic_report": """WITH hits AS (SELECT DISTINCT chunk_id, replace(substring(text, greatest(instr(text, '毛利') - 120, 1), instr(text, '毛利') - greatest(instr(text, '毛利') - 120, 1) + 220), chr(10), ' ⏎ ') AS snippet FROM chunks WHERE contains(text, '毛利') AND contains(report_label, '年度报告'))
+        SELECT chunk_id, snippet, (SELECT count(*) FROM hits) AS hits FROM hits ORDER BY chunk_id, snippet LIMIT 20""",
     "evidence_budget": f"WITH {EVIDENCE} SELECT qid, idx, md5(line) AS line_md5, length(line) AS n FROM (SELECT qid, idx, '[' || idx || '] 《' || coalesce(company, '') || '》' || coalesce(report_label, '') || '｜' || coalesce(section, '') || '｜第' || coalesce(page::VARCHAR, '') || '页' || chr(10) || substring(coalesce(text, ''), 1, greatest(400, 12000 // count(*) OVER (PARTITION BY qid))::INT) AS line FROM evidence WHERE idx <= 16)",
     "parse_citations": "SELECT DISTINCT id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\\[(\\d{1,2})\\]', 1), lambda x: x::INT))), ',') AS cited FROM eval_raw",
     "citation_join": f"WITH {EVIDENCE}, cited AS (SELECT qid, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\\[(\\d{{1,2}})\\]', 1), lambda x: x::INT))) AS idx FROM questions) SELECT qid, idx, chunk_id, company, report_label, section, page, type, md5(substring(coalesce(text, ''), 1, 180)) AS snippet_md5 FROM cited JOIN evidence USING (qid, idx)",
@@ -305,6 +334,6 @@ ORACLE = {
     "no_section_ratio": f"SELECT count(*) AS chunks, sum(length(coalesce(text, '')))::BIGINT AS chars, floor(sum(length(coalesce(text, ''))) / greatest(count(*), 1))::BIGINT AS mean_chars, count(*) FILTER (type = 'table') AS tables, round(avg(CASE WHEN coalesce(section, '') IN ('', '{X.DEFAULT_PATH}') THEN 1.0 ELSE 0.0 END), 6) AS no_section FROM (SELECT DISTINCT chunk_id, type, section, text FROM chunks)",
     "kwic_grep": "SELECT DISTINCT chunk_id, replace(substring(text, greatest(instr(text, '存货余额') - 120, 1), instr(text, '存货余额') - greatest(instr(text, '存货余额') - 120, 1) + 220), chr(10), ' ⏎ ') AS snippet FROM chunks WHERE contains(text, '存货余额') AND contains(report_label, '年度报告')",
     "pending_documents": "SELECT DISTINCT doc_id FROM manifest WHERE doc_id NOT IN (SELECT doc_id FROM blocks WHERE doc_id IS NOT NULL)",
-    "mentioned_evidence": f"WITH {QUESTIONS} SELECT company, count(DISTINCT chunk_id) AS n FROM chunks WHERE company IN (SELECT name FROM companies, questions WHERE name <> '' AND contains(question, name)) GROUP BY company",
+    "mentioned_evidence": "SELECT company, count(DISTINCT chunk_id) AS n FROM chunks WHERE company IN (SELECT name FROM companies, eval_raw WHERE name <> '' AND contains(question, name)) GROUP BY company",
     "block_statistics": "SELECT doc_id, max(page) AS pages, count(*) AS blocks, count(*) FILTER (type = 'table') AS tables FROM (SELECT DISTINCT * FROM blocks) GROUP BY doc_id",
 }

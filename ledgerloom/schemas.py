@@ -7,7 +7,6 @@ MANIFEST = (
     "doc_id string, code string, name string, full_name string, exchange string, sub_theme string, report_type string, report_year string, "
     f"period_label string, title string, announcement_date string, url string, file string, size bigint, sha256 string, pages int, candidates {CANDIDATES}, downloaded_at string"
 )
-LAYOUT = "pages array<struct<page_idx:int,blocks:array<struct<type:string,level:string,content:string>>>>"
 BLOCKS = "doc_id string, page int, seq int, type string, src_type string, text string, html string, level int, caption string"
 DOC_STATS = "doc_id string, tier string, mineru_cost_s double, parsed_at string, pages int, blocks int, tables int"
 CHUNKS = (

@@ -34,17 +34,10 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
     fs.delete(aside, True)
 
 
-def write_index(tables: dict[str, DataFrame], path: str) -> None:
-    """postings sorted by term within files, the others as they are."""
-    for name, df in tables.items():
-        out = df.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else df
-        out.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def csv_with_bom(df: DataFrame, path: str) -> None:
-    """CSV whose header starts with a byte order mark, as spreadsheet programs expect it."""
+    """CSV whose header starts with a byte order mark, as spreadsheet programs expect it; every part file has one."""
     first = df.columns[0]
-    df.withColumnRenamed(first, BOM + first).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumnRenamed(first, BOM + first).write.mode("overwrite").option("header", True).csv(path)
 
 
 def markdown(evidence: DataFrame) -> DataFrame:
@@ -53,8 +46,3 @@ def markdown(evidence: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("idx", line.alias("line"))))
     body = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     return evidence.groupBy("qid").agg(F.concat(F.lit("## "), F.col("qid"), F.lit(" "), F.first("question"), F.lit("\n\n"), body).alias("page"))
-
-
-def response_rows(evidence: DataFrame, limit: int = 500) -> DataFrame:
-    """json: rows for an HTTP response, without the HTML and with the text cut."""
-    return evidence.withColumns({"html": F.lit(""), "text": F.substring("text", 1, limit)}).select(F.to_json(F.struct("*")).alias("json"))
