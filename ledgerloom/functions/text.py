@@ -129,6 +129,7 @@ def tokens(c: Column) -> Column:
     """Words of letters and digits in lower case; runs of Han characters as overlapping pairs."""
     low = F.lower(F.coalesce(c, F.lit("")))
     words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
-    runs = F.regexp_extract_all(low, F.lit(r"(\p{IsHan}+)"), F.lit(1))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, 2))))
-    return F.concat(words, pairs)
+    # overlapping pairs by looking ahead; a Han character alone is a token of its own
+    pairs = F.regexp_extract_all(low, F.lit(r"(?=(\p{IsHan}{2}))"), F.lit(1))
+    alone = F.regexp_extract_all(low, F.lit(r"(?<!\p{IsHan})(\p{IsHan})(?!\p{IsHan})"), F.lit(1))
+    return F.concat(words, pairs, alone)
