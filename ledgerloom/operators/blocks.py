@@ -6,13 +6,15 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom import schemas
+from ledgerloom.functions import text as X
 
-# Block types that are noise, and that hold text.
-NOISE = frozenset(("header", "page_number", "footer", "index", "footnote", "aside_text"))
-TEXT = frozenset(("text", "paragraph_title", "doc_title", "caption", "list", "code", "reference", "unknown"))
+# Block types that hold text; all types besides these, tables and images are noise.
+TEXT = ("text", "paragraph_title", "doc_title", "caption", "list", "code", "reference", "unknown")
+KINDS = (*TEXT, "table", "image")
 
 
 def leaves(value) -> Iterator[str]:
@@ -26,57 +28,64 @@ def leaves(value) -> Iterator[str]:
         yield from leaves(value.get("content"))
 
 
-def joined(value) -> str:
-    return "\n".join(leaves(value))
-
-
-def page_blocks(layout: dict) -> Iterator[tuple]:
-    """(page, type, src_type, text, html, level, caption) of each block that is kept."""
-    for page in layout.get("pages") or []:
-        number = int(page.get("page_idx") or 0) + 1
-        for block in page.get("blocks") or []:
-            kind, content = block.get("type") or "unknown", block.get("content")
-            parts = [p for p in content if isinstance(p, dict)] if isinstance(content, list) else []
-            captions = [p for p in parts if p.get("type") == "caption"]
-            if kind == "image":
-                caption = joined(captions).strip()
-                if caption:
-                    yield number, "text", "image_caption", caption, "", None, ""
-            elif kind == "table":
-                html = next((p.get("content") or "" for p in reversed(parts) if p.get("type") == "table_body"), "")
-                caption = " ".join(filter(None, map(joined, captions))).strip()
-                yield number, "table", "table", "", html if isinstance(html, str) else joined(html), None, caption
-            elif kind in TEXT and kind not in NOISE:
-                text, level = joined(content).strip(), block.get("level")
-                if text:
-                    yield number, "text", kind, text, "", level if type(level) is int and level > 0 else None, ""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _texts(contents: pd.Series) -> pd.Series:
+    """The text of each content value (JSON), its leaves joined by line feeds."""
+    return contents.map(lambda values: ["\n".join(leaves(json.loads(v))) if v else "" for v in values])
 
 
 def flatten_layouts(layouts: DataFrame) -> DataFrame:
     """layouts(doc_id, layout as JSON text) -> blocks, numbered from 0 within each document.
 
-    Null and unreadable layouts give no blocks.
+    Pages and blocks are taken apart and filtered as variants; only the recursive content
+    values pass through Python.  Null and unreadable layouts give no blocks.
     """
-
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in schemas.BLOCKS.split(", ")]
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["layout"]):
-                try:
-                    layout = json.loads(text) if text else {}
-                except ValueError:
-                    layout = {}
-                for seq, (page, kind, *rest) in enumerate(page_blocks(layout if isinstance(layout, dict) else {})):
-                    rows.append((doc_id, page, seq, kind, *rest))
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"level": "Int32", "page": "int32", "seq": "int32"})
-
-    return layouts.select("doc_id", "layout").mapInPandas(flatten, schemas.BLOCKS)
+    get = F.try_variant_get
+    items = lambda v, path: F.coalesce(get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    of_type = lambda parts, kind: F.filter(parts, lambda p: get(p, "$.type", "string") == kind)
+    json_of = lambda v: F.to_json(get(v, "$.content", "variant"))
+
+    def block(page, b):
+        named = get(b, "$.type", "string")
+        kind = F.when(named != "", named).otherwise("unknown")
+        parts = items(b, "$.content")
+        whole = F.when(F.schema_of_variant(get(b, "$.level", "variant")) == "BIGINT", get(b, "$.level", "int"))
+        return F.struct(
+            (F.coalesce(get(page, "$.page_idx", "int"), F.lit(0)) + 1).alias("page"), kind.alias("kind"), F.when(whole > 0, whole).alias("level"),
+            F.when(kind == "table", json_of(F.element_at(F.filter(parts, lambda p: get(p, "$.type", "string") == "table_body"), -1))).when(kind != "image", json_of(b)).alias("body"),
+            F.when(kind.isin("table", "image"), F.transform(of_type(parts, "caption"), json_of)).alias("captions"),
+        )
+
+    pages = items(F.try_parse_json("layout"), "$.pages")
+    found = F.flatten(F.transform(pages, lambda page: F.transform(items(page, "$.blocks"), lambda b: block(page, b))))
+    kept = layouts.select("doc_id", F.filter(found, lambda b: b["kind"].isin(*KINDS)).alias("b")).filter(F.size("b") > 0)
+    # all captions of a document in one array, and where those of each block begin; as a nondeterministic
+    # function it stays a step of its own and isn't moved into the explode below
+    text_of = _texts.asNondeterministic()
+    read = kept.select("doc_id", "b", text_of(F.transform("b", lambda b: b["body"])).alias("bodies"), text_of(F.flatten(F.transform("b", lambda b: F.coalesce(b["captions"], F.array().cast("array<string>"))))).alias("captions"))
+    sizes = F.transform("b", lambda b: F.coalesce(F.size(b["captions"]), F.lit(0)))
+    row = F.transform("b", lambda b, i: _row(b, F.element_at("bodies", i + 1), F.slice("captions", F.aggregate(F.slice(sizes, 1, i), F.lit(1), lambda s, n: s + n), F.element_at(sizes, i + 1))))
+    full = read.select("doc_id", F.filter(row, lambda r: (r["type"] == "table") | (r["text"] != "")).alias("rows"))
+    return full.select("doc_id", F.posexplode("rows").alias("seq", "r")).select("doc_id", "r.page", "seq", "r.type", "r.src_type", "r.text", "r.html", "r.level", "r.caption")
+
+
+def _row(b, body, captions):
+    """The fields of a block of one of KINDS, from its text and the texts of its captions."""
+    strip = lambda c: F.regexp_replace(c, f"^{X.WS}+|{X.WS}+$", "")
+    table, image = b["kind"] == "table", b["kind"] == "image"
+    return F.struct(
+        b["page"].alias("page"), F.when(table, "table").otherwise("text").alias("type"), F.when(image, "image_caption").otherwise(b["kind"]).alias("src_type"),
+        F.when(table, "").when(image, strip(F.array_join(captions, "\n"))).otherwise(strip(body)).alias("text"), F.when(table, body).otherwise("").alias("html"),
+        F.when(~table & ~image, b["level"]).alias("level"), F.when(table, strip(F.array_join(F.filter(captions, lambda c: c != ""), " "))).otherwise("").alias("caption"),
+    )
+
+
+def newest_layouts(files: DataFrame) -> DataFrame:
+    """The newest file of each document by modification time, ties by path; files(doc_id, path, modificationTime, ...)."""
+    newest = Window.partitionBy("doc_id").orderBy(F.desc("modificationTime"), "path")
+    return files.withColumn("nth", F.row_number().over(newest)).filter("nth = 1").drop("nth")
 
 
 def document_statistics(blocks: DataFrame) -> DataFrame:
     """doc_id, pages, blocks, tables."""
-    from pyspark.sql import functions as F
-
     return blocks.groupBy("doc_id").agg(F.max("page").alias("pages"), F.count("*").alias("blocks"), F.count_if(F.col("type") == "table").alias("tables"))

@@ -5,7 +5,7 @@ Windows run within one document; reports are bounded, so no window grows with th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
@@ -105,3 +105,8 @@ def with_report(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """Adds company, code, report_type and report_label; documents that the manifest lacks are left out."""
     reports = manifest.groupBy("doc_id").agg(F.min_by(F.struct(F.col("name").alias("company"), "code", "report_type", F.col("period_label").alias("report_label")), F.coalesce("downloaded_at", F.lit(""))).alias("r"))
     return chunks.join(reports, "doc_id").select("chunk_id", "doc_id", "r.company", "r.code", "r.report_type", "r.report_label", *[c for c in chunks.columns if c not in ("chunk_id", "doc_id")])
+
+
+def selected(rows: DataFrame, manifest: DataFrame, condition: Column) -> DataFrame:
+    """The rows of the reports that meet a condition on the manifest (codes, years, single documents)."""
+    return rows.join(manifest.filter(condition).select("doc_id").distinct(), "doc_id", "left_semi")

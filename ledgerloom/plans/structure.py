@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
+from ledgerloom.operators import blocks as B
 from ledgerloom.operators import chunking as C
 from ledgerloom.session import table
 
@@ -14,6 +15,47 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "blocks")
 
 
+def _layouts(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks as an extractor would write them: a layout of each document, with page numbers, captions of
+    images (from the references) and blocks without a type."""
+    rows = _blocks(spark, d).select("doc_id", "page", "seq", "type", "src_type", "text", "html", "level", "caption").distinct()
+    part = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.col(c).alias("content"))
+    content = F.when(F.col("type") == "table", F.to_json(F.array(part("caption", "caption"), part("table_body", "html"))))
+    content = content.when(F.col("src_type") == "reference", F.to_json(F.array(part("caption", "text")))).otherwise(F.to_json(F.array("text")))
+    kind = F.when(F.col("src_type") == "reference", "image").otherwise(F.col("src_type"))
+    block = F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"type":"'), kind, F.lit('",')), F.lit("")), F.lit('"level":'), F.coalesce(F.col("level").cast("string"), F.lit("null")), F.lit(',"content":'), content, F.lit("}"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["json"]), ",")
+    pages = rows.groupBy("doc_id", "page").agg(joined(F.collect_list(F.struct("seq", block.alias("json")))).alias("blocks"))
+    page = F.concat(F.lit('{"page_idx":'), F.col("page") - 1, F.lit(',"blocks":[{"type":"page_number","content":"'), F.col("page"), F.lit('"},'), F.col("blocks"), F.lit("]}"))
+    documents = pages.groupBy("doc_id").agg(joined(F.collect_list(F.struct("page", page.alias("json")))).alias("pages"))
+    return documents.select("doc_id", F.concat(F.lit('{"pages":['), "pages", F.lit("]}")).alias("layout"))
+
+
+def flatten_layouts(spark: SparkSession, d: str) -> DataFrame:
+    return B.flatten_layouts(_layouts(spark, d)).select("doc_id", "page", "seq", "type", "src_type", F.md5("text").alias("text_md5"), F.md5("html").alias("html_md5"), "level", "caption")
+
+
+def block_filters(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept of each kind of block; page numbers and empty texts are dropped."""
+    return B.flatten_layouts(_layouts(spark, d)).groupBy("type", "src_type").agg(F.count("*").alias("n"), F.count("level").alias("levels"))
+
+
+def page_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Pages count from 1, blocks from 0 within their document."""
+    return B.flatten_layouts(_layouts(spark, d)).groupBy("doc_id", "page").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
+
+
+def newest_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Of the downloads of each report, the newest."""
+    rows = table(spark, d, "manifest").select(F.regexp_extract("doc_id", r"^(\d+_\d+_[a-z]+)", 1).alias("doc_id"), F.col("doc_id").alias("path"), F.coalesce("downloaded_at", F.lit("")).alias("modificationTime")).distinct()
+    return B.newest_layouts(rows)
+
+
+def selected_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the selected codes, counted by document: those of the company with most reports."""
+    return C.selected(table(spark, d, "blocks"), table(spark, d, "manifest"), F.col("code") == "960000").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).filter("type = 'text'").select("doc_id", "seq", X.clean_text(F.col("text")).alias("clean")).distinct()
 
@@ -84,7 +126,7 @@ def sha256_text(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_text, heading_detect, heading_remap, heading_sane, section_levels, section_path, segments, greedy_chunks, chunk_ids, report_chunks,
+        flatten_layouts, block_filters, page_numbers, newest_layouts, selected_documents, clean_text, heading_detect, heading_remap, heading_sane, section_levels, section_path, segments, greedy_chunks, chunk_ids, report_chunks,
         table_chunks, html_table_to_text, html_strip, doc_text_header, sha256_text,
     )
 }
@@ -175,7 +217,19 @@ CHUNKED = (
     chunked AS (SELECT doc_id || '_p' || lpad(coalesce(page, 0)::VARCHAR, 4, '0') || '_' || CASE type WHEN 'table' THEN 't' ELSE 'c' END || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY pos, piece) - 1)::VARCHAR, 4, '0') AS chunk_id, * FROM emitted)"""
 )
 
+_FLAT = f"""
+    given AS (SELECT DISTINCT doc_id, page, seq, type, src_type, text, html, level, caption FROM blocks),
+    named AS (SELECT doc_id, page, seq, type, CASE WHEN type = 'table' THEN 'table' WHEN src_type = 'reference' THEN 'image_caption' ELSE coalesce(src_type, 'unknown') END AS src_type,
+        CASE WHEN type = 'table' THEN '' ELSE {_strip("coalesce(text, '')")} END AS text, CASE WHEN type = 'table' THEN coalesce(html, '') ELSE '' END AS html,
+        CASE WHEN type <> 'table' AND src_type IS DISTINCT FROM 'reference' AND level > 0 THEN level END AS level, CASE WHEN type = 'table' THEN {_strip("coalesce(caption, '')")} ELSE '' END AS caption FROM given),
+    flat AS (SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id ORDER BY page, seq) - 1)::INT AS seq, type, src_type, text, html, level, caption FROM named WHERE type = 'table' OR text <> '')"""
+
 ORACLE = {
+    "flatten_layouts": f"WITH {_FLAT} SELECT doc_id, page, seq, type, src_type, md5(text) AS text_md5, md5(html) AS html_md5, level, caption FROM flat",
+    "block_filters": f"WITH {_FLAT} SELECT type, src_type, count(*) AS n, count(level) AS levels FROM flat GROUP BY ALL",
+    "page_numbers": f"WITH {_FLAT} SELECT doc_id, page, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM flat GROUP BY ALL",
+    "newest_layouts": """SELECT doc_id, path, "modificationTime" FROM (SELECT DISTINCT regexp_extract(doc_id, '^(\\d+_\\d+_[a-z]+)', 1) AS doc_id, doc_id AS path, coalesce(downloaded_at, '') AS "modificationTime" FROM manifest) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "modificationTime" DESC, path) = 1""",
+    "selected_documents": "SELECT doc_id, count(*) AS n FROM blocks WHERE doc_id IN (SELECT doc_id FROM manifest WHERE code = '960000') GROUP BY doc_id",
     "clean_text": f"SELECT DISTINCT doc_id, seq, {_clean('text')} AS clean FROM blocks WHERE type = 'text'",
     "heading_detect": f"SELECT DISTINCT doc_id, seq, {_detect('text')} AS level FROM blocks WHERE type = 'text' AND {_detect('text')} IS NOT NULL",
     "heading_remap": f"SELECT DISTINCT doc_id, seq, {_remap(_clean('text'))} AS level FROM blocks WHERE level > 0",
