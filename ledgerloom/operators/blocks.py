@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerloom.functions import text as X
 
@@ -28,10 +28,16 @@ def leaves(value) -> Iterator[str]:
         yield from leaves(value.get("content"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _texts(contents: pd.Series) -> pd.Series:
-    """The text of each content value (JSON), its leaves joined by line feeds."""
-    return contents.map(lambda values: ["\n".join(leaves(json.loads(v))) if v else "" for v in values])
+def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content values (JSON) of bodies and captions as texts, their leaves joined by line feeds."""
+    for batch in batches:
+        for name in ("bodies", "captions"):
+            column = batch.column(name)
+            texts = ["\n".join(leaves(json.loads(v))) if v else "" for v in column.flatten().to_pylist()]
+            ends = np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int32)
+            at = batch.schema.get_field_index(name)
+            batch = batch.set_column(at, name, pa.ListArray.from_arrays(pa.array(ends), pa.array(texts, pa.string())))
+        yield batch
 
 
 def flatten_layouts(layouts: DataFrame) -> DataFrame:
@@ -52,17 +58,17 @@ def flatten_layouts(layouts: DataFrame) -> DataFrame:
         whole = F.when(F.schema_of_variant(get(b, "$.level", "variant")) == "BIGINT", get(b, "$.level", "int"))
         return F.struct(
             (F.coalesce(get(page, "$.page_idx", "int"), F.lit(0)) + 1).alias("page"), kind.alias("kind"), F.when(whole > 0, whole).alias("level"),
-            F.when(kind == "table", json_of(F.element_at(F.filter(parts, lambda p: get(p, "$.type", "string") == "table_body"), -1))).when(kind != "image", json_of(b)).alias("body"),
+            F.when(kind == "table", json_of(F.try_element_at(of_type(parts, "table_body"), F.lit(-1)))).when(kind != "image", json_of(b)).alias("body"),
             F.when(kind.isin("table", "image"), F.transform(of_type(parts, "caption"), json_of)).alias("captions"),
         )
 
     pages = items(F.try_parse_json("layout"), "$.pages")
     found = F.flatten(F.transform(pages, lambda page: F.transform(items(page, "$.blocks"), lambda b: block(page, b))))
     kept = layouts.select("doc_id", F.filter(found, lambda b: b["kind"].isin(*KINDS)).alias("b")).filter(F.size("b") > 0)
-    # all captions of a document in one array, and where those of each block begin; as a nondeterministic
-    # function it stays a step of its own and isn't moved into the explode below
-    text_of = _texts.asNondeterministic()
-    read = kept.select("doc_id", "b", text_of(F.transform("b", lambda b: b["body"])).alias("bodies"), text_of(F.flatten(F.transform("b", lambda b: F.coalesce(b["captions"], F.array().cast("array<string>"))))).alias("captions"))
+    # all captions of a document in one array, and where those of each block begin
+    none = F.array().cast("array<string>")
+    listed = kept.select("doc_id", "b", F.transform("b", lambda b: b["body"]).alias("bodies"), F.flatten(F.transform("b", lambda b: F.coalesce(b["captions"], none))).alias("captions"))
+    read = listed.mapInArrow(_with_texts, listed.schema)
     sizes = F.transform("b", lambda b: F.coalesce(F.size(b["captions"]), F.lit(0)))
     row = F.transform("b", lambda b, i: _row(b, F.element_at("bodies", i + 1), F.slice("captions", F.aggregate(F.slice(sizes, 1, i), F.lit(1), lambda s, n: s + n), F.element_at(sizes, i + 1))))
     full = read.select("doc_id", F.filter(row, lambda r: (r["type"] == "table") | (r["text"] != "")).alias("rows"))

@@ -52,8 +52,8 @@ def newest_layouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selected_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of the selected codes, counted by document: those of the company with most reports."""
-    return C.selected(table(spark, d, "blocks"), table(spark, d, "manifest"), F.col("code") == "960000").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Blocks of the selected codes, counted by document: the half-yearly reports."""
+    return C.selected(table(spark, d, "blocks"), table(spark, d, "manifest"), F.col("report_type") == "semi").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +229,7 @@ ORACLE = {
     "block_filters": f"WITH {_FLAT} SELECT type, src_type, count(*) AS n, count(level) AS levels FROM flat GROUP BY ALL",
     "page_numbers": f"WITH {_FLAT} SELECT doc_id, page, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM flat GROUP BY ALL",
     "newest_layouts": """SELECT doc_id, path, "modificationTime" FROM (SELECT DISTINCT regexp_extract(doc_id, '^(\\d+_\\d+_[a-z]+)', 1) AS doc_id, doc_id AS path, coalesce(downloaded_at, '') AS "modificationTime" FROM manifest) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "modificationTime" DESC, path) = 1""",
-    "selected_documents": "SELECT doc_id, count(*) AS n FROM blocks WHERE doc_id IN (SELECT doc_id FROM manifest WHERE code = '960000') GROUP BY doc_id",
+    "selected_documents": "SELECT doc_id, count(*) AS n FROM blocks WHERE doc_id IN (SELECT doc_id FROM manifest WHERE report_type = 'semi') GROUP BY doc_id",
     "clean_text": f"SELECT DISTINCT doc_id, seq, {_clean('text')} AS clean FROM blocks WHERE type = 'text'",
     "heading_detect": f"SELECT DISTINCT doc_id, seq, {_detect('text')} AS level FROM blocks WHERE type = 'text' AND {_detect('text')} IS NOT NULL",
     "heading_remap": f"SELECT DISTINCT doc_id, seq, {_remap(_clean('text'))} AS level FROM blocks WHERE level > 0",

@@ -67,15 +67,18 @@ def read_layouts(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_layout_archives(spark: SparkSession, pattern: str) -> DataFrame:
-    """doc_id (the archive's name), layout: the first layout file of each zip archive; null if it has none."""
+    """doc_id (the archive's name), layout: the first layout file of each zip archive; null if it has none or can't be read."""
 
     @F.pandas_udf("string")
     def unzip(contents: pd.Series) -> pd.Series:
         out = []
         for content in contents:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                names = sorted(n for n in z.namelist() if n.endswith(LAYOUT_NAME))
-                out.append(z.read(names[0]).decode("utf-8") if names else None)
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = sorted(n for n in z.namelist() if n.endswith(LAYOUT_NAME))
+                    out.append(z.read(names[0]).decode("utf-8") if names else None)
+            except (zipfile.BadZipFile, UnicodeDecodeError):
+                out.append(None)
         return pd.Series(out, dtype=object)
 
     files = spark.read.format("binaryFile").load(pattern)
