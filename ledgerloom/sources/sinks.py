@@ -34,10 +34,14 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
     fs.delete(aside, True)
 
 
-def csv_with_bom(df: DataFrame, path: str) -> None:
-    """CSV whose header starts with a byte order mark, as spreadsheet programs expect it; every part file has one."""
+def csv_with_bom(df: DataFrame, path: str, single: bool = True) -> None:
+    """CSV whose header starts with a byte order mark, as spreadsheet programs expect it.
+
+    One file, for reports of a bounded number of rows; with single=False every part file has its own header.
+    """
     first = df.columns[0]
-    df.withColumnRenamed(first, BOM + first).write.mode("overwrite").option("header", True).csv(path)
+    marked = df.withColumnRenamed(first, BOM + first)
+    (marked.coalesce(1) if single else marked).write.mode("overwrite").option("header", True).csv(path)
 
 
 def markdown(evidence: DataFrame) -> DataFrame:
