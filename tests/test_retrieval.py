@@ -144,3 +144,41 @@ def test_knowledge_base(spark, tmp_path):
     assert got["answer"] and len(got["evidence"]) == 2 and got["citations"][0]["idx"] == 1
     with pytest.raises(ValueError):
         kb.ask("  ")
+
+
+def shuffled_bytes(spark):
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_bm25_shuffles_the_best_of_each_task_only(spark, tmp_path):
+    """400 questions share a term with all of 500 chunks; one row for each pair would be 200,000."""
+    rows = [chunk(1000 + i, f"gemeinsam wort{i % 50} " + "x " * (i % 7)) for i in range(500)]
+    spark.createDataFrame(rows, CHUNKS).write.parquet(str(tmp_path / "chunks"))
+    index = lexical.build_index(spark.read.parquet(str(tmp_path / "chunks")))
+    asked = questions(spark, *((f"gemeinsam wort{i % 60} frage{i}", 3) for i in range(400)))
+    scores = {}
+    for r in lexical.bm25_scores(index, asked).collect():
+        scores.setdefault(r["qid"], []).append((-r["score"], r["chunk_id"]))
+    before = shuffled_bytes(spark)
+    got = lexical.bm25_topk(index, asked, 3).collect()
+    assert shuffled_bytes(spark) - before < 500_000
+    assert {(r["qid"], r["rank"], r["chunk_id"], r["score"]) for r in got} == {(q, i, c, -s) for q, all_ in scores.items() for i, (s, c) in enumerate(sorted(all_)[:3])}
+
+
+def test_counted_chunks_take_every_body_of_a_chunk_once(spark):
+    rows = [chunk(1, "alpha beta 甲公司 beta"), chunk(1, "alpha gamma"), chunk(2, None), chunk(3, "beta\n营业收入")]
+    df = spark.createDataFrame(rows + rows[:2], CHUNKS).repartition(3)
+    asked = lexical.asked_terms(questions(spark, ("alpha beta 营业", 1), ("nothing", 1), ("公司 beta", 2), (None, 1)))
+    index = lexical.build_index(df)
+    both = [{r["chunk_id"]: r for r in t.collect()} for t in (lexical.counted_chunks(df, asked, dim=64), lexical.counted_postings(index, asked))]
+    for c in ("c1", "c2", "c3"):
+        tfs = []
+        for t in both:
+            tfs.append({n: 0 for n in t[c]["terms"]})
+            for n, tf in zip(t[c]["terms"], t[c]["tfs"], strict=True):
+                tfs[-1][n] += tf
+        assert tfs[0] == tfs[1] and both[0][c]["dl"] == both[1][c]["dl"]
+    want = {(r["qid"], r["chunk_id"]): r["score"] for r in lexical.bm25_scores(index, questions(spark, ("alpha beta 营业", 1), ("nothing", 1), ("公司 beta", 2))).collect()}
+    got = {(r["qid"], r["chunk_id"]): r["score"] for r in lexical.counted_topk(lexical.counted_chunks(df, asked), asked, 9).collect()}
+    assert got == pytest.approx(want) and len(got) == 5
