@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import pytest
@@ -8,7 +9,11 @@ from ledgerloom.engine import KnowledgeBase
 from ledgerloom.functions import text as X
 from ledgerloom.operators import answering as AN
 from ledgerloom.operators import dense, evaluation, fusion, lexical
+from ledgerloom.plans import retrieval
 from ledgerloom.schemas import CHUNKS
+from ledgerloom.session import materialize
+
+DATA = "/root/testdata/sf0.001"
 
 COMPANIES = [("1", "甲公司", None, None, None), ("2", "乙公司", None, None, None)]
 
@@ -182,3 +187,17 @@ def test_counted_chunks_take_every_body_of_a_chunk_once(spark):
     want = {(r["qid"], r["chunk_id"]): r["score"] for r in lexical.bm25_scores(index, questions(spark, ("alpha beta 营业", 1), ("nothing", 1), ("公司 beta", 2))).collect()}
     got = {(r["qid"], r["chunk_id"]): r["score"] for r in lexical.counted_topk(lexical.counted_chunks(df, asked), asked, 9).collect()}
     assert got == pytest.approx(want) and len(got) == 5
+
+
+SEARCHES = [
+    "answer_questions",
+]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_write_neither_all_postings_nor_all_vectors(spark, monkeypatch, name):
+    written = []
+    monkeypatch.setattr(retrieval, "materialize", lambda df: written.append(df.columns) or materialize(df))
+    assert retrieval.QUERIES[name](spark, DATA).columns
+    assert written and not any({"term", "embedding"} & set(columns) for columns in written)
