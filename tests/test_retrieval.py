@@ -192,6 +192,7 @@ def test_counted_chunks_take_every_body_of_a_chunk_once(spark):
 SEARCHES = [
     "answer_questions",
     "evidence_budget",
+    "hit_at_k_mrr",
 ]
 
 
