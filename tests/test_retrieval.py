@@ -193,6 +193,7 @@ SEARCHES = [
     "answer_questions",
     "evidence_budget",
     "hit_at_k_mrr",
+    "evidence_scores",
 ]
 
 
