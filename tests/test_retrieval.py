@@ -194,6 +194,7 @@ SEARCHES = [
     "evidence_budget",
     "hit_at_k_mrr",
     "evidence_scores",
+    "hybrid_search",
 ]
 
 
