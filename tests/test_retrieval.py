@@ -195,6 +195,7 @@ SEARCHES = [
     "hit_at_k_mrr",
     "evidence_scores",
     "hybrid_search",
+    "citation_join",
 ]
 
 
