@@ -196,6 +196,7 @@ SEARCHES = [
     "evidence_scores",
     "hybrid_search",
     "citation_join",
+    "fused_boosts",
 ]
 
 
