@@ -197,6 +197,7 @@ SEARCHES = [
     "hybrid_search",
     "citation_join",
     "fused_boosts",
+    "rrf_fuse",
 ]
 
 
