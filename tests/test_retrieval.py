@@ -2,6 +2,7 @@ import math
 import os
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ledgerloom.engine import KnowledgeBase
 from ledgerloom.functions import text as X
 from ledgerloom.operators import answering as AN
 from ledgerloom.operators import dense, evaluation, fusion, lexical
+from ledgerloom.operators.best import Best
 from ledgerloom.plans import retrieval
 from ledgerloom.schemas import CHUNKS
 from ledgerloom.session import materialize
@@ -156,6 +158,13 @@ def shuffled_bytes(spark):
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def test_bm25_shuffles_the_best_of_each_task_only(spark, tmp_path):
     """400 questions share a term with all of 500 chunks; one row for each pair would be 200,000."""
     rows = [chunk(1000 + i, f"gemeinsam wort{i % 50} " + "x " * (i % 7)) for i in range(500)]
@@ -208,3 +217,57 @@ def test_searches_write_neither_all_postings_nor_all_vectors(spark, monkeypatch,
     monkeypatch.setattr(retrieval, "materialize", lambda df: written.append(df.columns) or materialize(df))
     assert retrieval.QUERIES[name](spark, DATA).columns
     assert written and not any({"term", "embedding"} & set(columns) for columns in written)
+
+
+def test_best_equals_a_plain_sort():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        k, n, positive = int(rng.integers(1, 6)), int(rng.integers(1, 5)), bool(rng.integers(2))
+        top, rows, given = Best(k, n, positive=positive, pending=int(rng.integers(1, 60))), [[] for _ in range(n)], 0
+        for _ in range(int(rng.integers(0, 8))):
+            m = int(rng.integers(1, 20))
+            scores = rng.integers(-2, 4, (n, m)) / 4 + rng.integers(0, 2, (n, m)) * 3e-7
+            if not positive:
+                scores[rng.random((n, m)) < 0.05] = np.nan
+            keys = np.array([f"c{rng.integers(1000)}_{given + i}" for i in range(m)], dtype=object)
+            given += m
+            top.add(scores, keys)
+            for row, mine in zip(rows, scores, strict=True):
+                row += [(-np.inf if np.isnan(s) else -np.round(s, 6), key) for s, key in zip(mine, keys, strict=True) if not positive or s > 0]
+        got = [[] for _ in range(n)]
+        for row, score, key in zip(*top.result(), strict=True):
+            got[row].append((-np.inf if np.isnan(score) else -score, key))
+        assert got == [sorted(row)[:k] for row in rows]
+
+
+def test_cosine_groups_equal_a_plain_sort_when_tasks_begin_anew(spark, monkeypatch):
+    monkeypatch.setattr(dense, "MOST_KEPT", 20)
+    monkeypatch.setattr(dense, "AT_ONCE", 1)
+    rows = [(f"k{i:03}", [math.cos(i), math.sin(i)], [None, "x", "y", "z"][i % 4]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "key string, embedding array<double>, company string").repartition(3)
+    asked = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(5)], "qid int, embedding array<double>")
+    want = set()
+    for q in range(5):
+        for c in (None, "x", "y", "z"):
+            mine = sorted((-round(math.cos(i) * math.cos(q) + math.sin(i) * math.sin(q), 6), key) for i, (key, _, company) in enumerate(rows) if company == c)
+            want |= {(q, key, c, -sim, rank) for rank, (sim, key) in enumerate(mine[:2])}
+    assert {tuple(r[c] for c in ("qid", "key", "company", "sim", "rank")) for r in dense.cosine_topk(vectors, asked, 2, group="company").collect()} == want
+
+
+SHUFFLING = [
+    "evidence_budget",
+]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", SHUFFLING)
+def test_searches_shuffle_the_best_of_each_task_only(spark, name):
+    """80 rows of each of 6 questions for each of 4 tasks and list; for each batch of 50 chunks it would be 18,000 of vectors."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        before = shuffled_rows(spark)
+        assert retrieval.QUERIES[name](spark, "/root/testdata/sf0.01").count()
+        assert shuffled_rows(spark) - before < 15_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
