@@ -257,6 +257,7 @@ def test_cosine_groups_equal_a_plain_sort_when_tasks_begin_anew(spark, monkeypat
 SHUFFLING = [
     "evidence_budget",
     "hit_at_k_mrr",
+    "evidence_scores",
 ]
 
 
