@@ -258,6 +258,7 @@ SHUFFLING = [
     "evidence_budget",
     "hit_at_k_mrr",
     "evidence_scores",
+    "hybrid_search",
 ]
 
 
