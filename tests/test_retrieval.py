@@ -259,6 +259,7 @@ SHUFFLING = [
     "hit_at_k_mrr",
     "evidence_scores",
     "hybrid_search",
+    "citation_join",
 ]
 
 
