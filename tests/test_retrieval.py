@@ -260,6 +260,7 @@ SHUFFLING = [
     "evidence_scores",
     "hybrid_search",
     "citation_join",
+    "fused_boosts",
 ]
 
 
