@@ -261,6 +261,7 @@ SHUFFLING = [
     "hybrid_search",
     "citation_join",
     "fused_boosts",
+    "rrf_fuse",
 ]
 
 
