@@ -277,3 +277,31 @@ def test_searches_shuffle_the_best_of_each_task_only(spark, name):
         assert shuffled_rows(spark) - before < 15_000
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_counted_chunks_do_not_depend_on_what_is_shuffled(spark, monkeypatch, most):
+    monkeypatch.setattr(lexical, "MOST_REPEATED", most)
+    rows = [chunk(i, f"alpha beta{i % 3} " * (i % 4)) for i in range(20)] + [chunk(3, "alpha other"), chunk(4, "beta1"), (None, *chunk(0, "alpha")[1:]), (None, *chunk(0, "beta0")[1:])]
+    asked = lexical.asked_terms(questions(spark, ("alpha beta0 beta1 other", 1)))
+    for some in (rows, rows[:-1], rows[:20]):
+        df = spark.createDataFrame(some + some[:1], CHUNKS).repartition(3)
+        lengths = {r["chunk_id"]: r["dl"] for r in lexical.build_index(df)["lengths"].collect()}
+        got = lexical.counted_chunks(df, asked, dim=64).collect()
+        assert len(got) == len(lengths) and {r["chunk_id"]: r["dl"] for r in got} == lengths
+        bodies = dict(df.filter("chunk_id is not null").select("chunk_id", X.document_text(F.col("company"), F.col("report_label"), F.col("section"), F.col("text"), None).alias("body")).distinct().groupBy("chunk_id").agg(F.sum(F.size(X.tokens(F.col("body"))))).collect())
+        assert {r["chunk_id"]: sum(r["slots"]) for r in got if r["chunk_id"]} == bodies
+
+
+UNSHUFFLED = [
+    "hit_at_k_mrr",
+]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", UNSHUFFLED)
+def test_searches_shuffle_no_counts_of_chunks_that_occur_once(spark, name):
+    """3,000 chunks, whose counts would be 1.0 MB of 1.1; what is left is mostly the best of each task."""
+    before = shuffled_bytes(spark)
+    assert retrieval.QUERIES[name](spark, "/root/testdata/sf0.01").count()
+    assert shuffled_bytes(spark) - before < 500_000
