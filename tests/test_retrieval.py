@@ -296,6 +296,7 @@ def test_counted_chunks_do_not_depend_on_what_is_shuffled(spark, monkeypatch, mo
 UNSHUFFLED = [
     "hit_at_k_mrr",
     "evidence_scores",
+    "hybrid_search",
 ]
 
 
