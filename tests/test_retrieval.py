@@ -297,6 +297,7 @@ UNSHUFFLED = [
     "hit_at_k_mrr",
     "evidence_scores",
     "hybrid_search",
+    "citation_join",
 ]
 
 
