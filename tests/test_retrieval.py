@@ -298,6 +298,7 @@ UNSHUFFLED = [
     "evidence_scores",
     "hybrid_search",
     "citation_join",
+    "fused_boosts",
 ]
 
 
