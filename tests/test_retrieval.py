@@ -299,6 +299,7 @@ UNSHUFFLED = [
     "hybrid_search",
     "citation_join",
     "fused_boosts",
+    "rrf_fuse",
 ]
 
 
