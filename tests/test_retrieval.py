@@ -3,6 +3,7 @@ import os
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,44 @@ def test_searches_shuffle_no_counts_of_chunks_that_occur_once(spark, name):
     before = shuffled_bytes(spark)
     assert retrieval.QUERIES[name](spark, "/root/testdata/sf0.01").count()
     assert shuffled_bytes(spark) - before < 500_000
+
+
+def test_split_words_equals_tokens(spark):
+    """Every code point next to others, and runs of odd ones."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["", " ", "营业收入 HBM-3，乙 Ab", "乙", "甲\n乙丙\n", *("".join(c + "中" + c for c in points[i : i + 2000]) + " ".join(points[i : i + 2000]) for i in range(0, len(points), 2000))]
+    rng = np.random.default_rng(2)
+    odd = [*"中文aZ9é，\n 々〇㐀豈İß٣", *map(chr, (0x20000, 0x2F800, 0x16FF0, 0x1D400))]
+    texts += ["\U00020000中", "中\U00020000", "a\U00020000\U00020001"]
+    texts += ["".join(rng.choice(odd, int(rng.integers(30)))) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.lowered(F.col("t")).alias("low"), X.tokens(F.col("t")).alias("words")).collect()
+    for some in (rows[:1], rows[:4], rows):
+        got = [[] for _ in some]
+        at, places, distinct = lexical.split_words(pa.array([r["low"] for r in some]), lexical.character_kinds(spark))
+        for i, place in zip(at, places, strict=True):
+            got[i].append(distinct[place])
+        assert [sorted(g) for g in got] == [sorted(r["words"]) for r in some]
+
+
+def test_counted_chunks_take_other_tokens(spark):
+    letters = lambda c: F.filter(F.split(F.lower(c), ""), lambda x: x.rlike("[a-z]"))
+    asked = lexical.asked_terms(questions(spark, ("ab", 1)), letters)
+    df = spark.createDataFrame([chunk(1, "abba", "", "", section=""), chunk(2, None, "x", "", section="")], CHUNKS)
+    got = {r["chunk_id"]: r for r in lexical.counted_chunks(df, asked, letters, dim=8).collect()}
+    assert (got["c1"]["dl"], got["c1"]["tfs"], sum(got["c1"]["slots"])) == (4, [2, 2], 4) and (got["c2"]["dl"], got["c2"]["tfs"], sum(got["c2"]["slots"])) == (2, [], 1)
+
+
+SPLITTING = [
+    "evidence_scores",
+]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+@pytest.mark.parametrize("name", SPLITTING)
+def test_searches_make_no_lists_of_all_words(spark, monkeypatch, name):
+    """Regular expressions on every text, and lists of their finds sent to Python, took most of the CPU time."""
+    plans = []
+    monkeypatch.setattr(retrieval, "materialize", lambda df: plans.append((df.columns, df._jdf.queryExecution().toString())) or materialize(df))
+    assert retrieval.QUERIES[name](spark, DATA).columns
+    counted = [plan for columns, plan in plans if "tfs" in columns]
+    assert counted and not any("regexp_extract_all" in plan for plan in counted)
