@@ -340,6 +340,7 @@ def test_counted_chunks_take_other_tokens(spark):
 
 SPLITTING = [
     "evidence_scores",
+    "hybrid_search",
 ]
 
 
