@@ -341,6 +341,7 @@ def test_counted_chunks_take_other_tokens(spark):
 SPLITTING = [
     "evidence_scores",
     "hybrid_search",
+    "citation_join",
 ]
 
 
