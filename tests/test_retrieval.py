@@ -342,6 +342,7 @@ SPLITTING = [
     "evidence_scores",
     "hybrid_search",
     "citation_join",
+    "fused_boosts",
 ]
 
 
