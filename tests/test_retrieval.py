@@ -343,6 +343,7 @@ SPLITTING = [
     "hybrid_search",
     "citation_join",
     "fused_boosts",
+    "rrf_fuse",
 ]
 
 
